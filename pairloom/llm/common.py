@@ -108,6 +108,24 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+class Kept:
+    """A bounded cache in two generations: what was used since the younger one began survives its end."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start..start+length of each run, one after the other."""
     ends = np.cumsum(lengths)

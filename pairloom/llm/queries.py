@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan, simhash
+from . import mixing, quality_rules, secret_scan, sentencepiece_fst, simhash, token_store, toxicity
 from .common import table
 
 
+def op1_token_store(spark, sf_dir):
+    return token_store.stored_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secret_scan.digest_rows(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("broken_rules")
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.held_out_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
@@ -24,5 +32,9 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_quality_rules, op8_mixing, op9_simhash)}
+def op10_sentencepiece(spark, sf_dir):
+    return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece)}
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE_SQL}
