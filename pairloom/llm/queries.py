@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan, sentencepiece_fst, simhash, token_store, toxicity
+from . import graph_index, mixing, quality_rules, secret_scan, sentencepiece_fst, simhash, token_counts, token_store, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op2_secret_scan(spark, sf_dir):
     return secret_scan.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_nearest_neighbours(spark, sf_dir):
+    return graph_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("broken_rules")
 
@@ -36,5 +48,5 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece)}
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_warc, op4_nearest_neighbours, op5_token_counts, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece)}
+ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
