@@ -105,6 +105,19 @@ def mix(
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs as the mix takes them: a row for each time that it is taken whole, none if it isn't; columns stay.
+
+    An empty document goes with its source's complete epochs.
+    """
+    held = written(docs.withColumn("_row", F.monotonically_increasing_id()), "unmixed")
+    taken = mix(held.withColumn("_key", F.struct(F.col(id_col), F.col("_row"))), "_key", text_col, source_col, **how)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.greatest(F.col("size"), F.lit(1))).otherwise(F.col("epochs")).cast("int")
+    counted = written(taken.select(F.col("_key._row").alias("_row"), times.alias("_times")).filter("_times > 0"), "times")
+    repeated = held.join(counted, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*docs.columns)
+
+
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents),

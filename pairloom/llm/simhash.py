@@ -64,11 +64,34 @@ def shingle_bounds(texts: pa.Array, width: int) -> tuple[bytes, np.ndarray, np.n
     return laid[kept].tobytes(), starts[first], ends[last], np.concatenate([[0], np.cumsum(n)])
 
 
-def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
-    """The fingerprint of each text."""
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the eight bytes of each shingle's hash, the first byte first; offsets by text)."""
     data, starts, ends, offsets = shingle_bounds(texts, width)
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(data[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint8).reshape(-1, 8)
+    joined = b"".join([digest(data[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(joined, np.uint8).reshape(-1, 8), offsets
+
+
+def wide_fingerprints_of(texts: pa.Array, width: int, words: int) -> np.ndarray:
+    """Fingerprints of words * 64 bits, a row for each text. A text's shingles count once each, and further words mix the hashes anew."""
+    hashes, offsets = shingle_hashes(texts, width)
+    plain = hashes.view(">u8").ravel().astype(np.uint64)
+    found = np.zeros((len(texts), words), np.uint64)
+    for i in range(len(texts)):
+        own = np.unique(plain[offsets[i] : offsets[i + 1]])
+        for k in range(words):
+            mixed = own + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))  # splitmix64
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed = (mixed ^ (mixed >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
+            if len(own):
+                found[i, k] = np.packbits(2 * np.unpackbits(mixed, axis=1).sum(axis=0, dtype=np.int64) > len(own)).view(">u8")[0]
+    return found
+
+
+def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
+    """The fingerprint of each text."""
+    hashes, offsets = shingle_hashes(texts, width)
     found = np.zeros(len(texts), np.uint64)
     for i in range(len(texts)):
         n = offsets[i + 1] - offsets[i]
@@ -128,10 +151,11 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
+def trie_groups(keys: np.ndarray, fixed: int, errors: int, rest: np.ndarray | None = None) -> np.ndarray:
     """Group label of each of the sorted distinct keys; keys are linked if the first `fixed` bits agree and `errors` others at most differ.
 
     A trie node is a range lo..hi of the sorted keys; its branch bit is the first in which its ends differ.
+    rest: further words of each fingerprint, a row each, which are compared at the leaves; keys may then be equal.
     """
     n = len(keys)
     label = np.arange(n)
@@ -147,8 +171,8 @@ def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
 
     def halves(lo, hi, bits):
         """Where the upper child of each range begins."""
-        shift = (BITS - 1 - bits).astype(np.uint64)
-        return np.searchsorted(keys, (keys[hi - 1] >> shift) << shift)
+        shift = np.maximum(BITS - 1 - bits, 0).astype(np.uint64)
+        return np.where(bits == BITS, (lo + hi) // 2, np.searchsorted(keys, (keys[hi - 1] >> shift) << shift))
 
     top = keys >> np.uint64(BITS - fixed)
     begin = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
@@ -181,16 +205,19 @@ def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
         shared = np.minimum(bits_a, bits_c)
         near = np.bitwise_count((keys[a] ^ keys[c]) >> (BITS - shared).astype(np.uint64)) <= errors
         a, b, c, d, bits_a, bits_c = a[near], b[near], c[near], d[near], bits_a[near], bits_c[near]
-        leaves = (bits_a == BITS) & (bits_c == BITS)
+        leaves = (b - a == 1) & (d - c == 1)
         if leaves.any():
-            new = _settle(label, a[leaves], c[leaves])
-            label = new
+            la, lc = a[leaves], c[leaves]
+            if rest is not None:
+                away = np.bitwise_count(keys[la] ^ keys[lc]).astype(np.int64) + np.bitwise_count(rest[la] ^ rest[lc]).sum(axis=1, dtype=np.int64)
+                la, lc = la[away <= errors], lc[away <= errors]
+            label = _settle(label, la, lc)
             changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         a, b, c, d, bits_a, bits_c = a[~leaves], b[~leaves], c[~leaves], d[~leaves], bits_a[~leaves], bits_c[~leaves]
         if len(a):
-            swap = bits_a > bits_c  # open the node of which less is known
+            swap = (b - a == 1) | ((d - c > 1) & (bits_a > bits_c))  # open the node of which less is known, never a leaf
             a, b, c, d = np.where(swap, c, a), np.where(swap, d, b), np.where(swap, a, c), np.where(swap, b, d)
-            mid = halves(a, b, np.minimum(bits_a, bits_c))
+            mid = halves(a, b, np.where(swap, bits_c, bits_a))
             stack.append(("pair", np.concatenate([np.stack([a, mid, c, d]), np.stack([mid, b, c, d])], axis=1)))
     return label
 
@@ -230,3 +257,96 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = written(grouped.join(least, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- groups by similarity: wide fingerprints, bands, and the same trie join in each band's buckets
+
+#: Words of a wide fingerprint; its bits that may differ at a similarity; share of pairs at it that some band brings together.
+WIDE, SLACK, RECALL = 4, 1.0, 0.95
+#: Fingerprints that agree on a band by chance, about.
+BAND_ROWS = 64
+
+
+def wide_budget(similarity: float) -> int:
+    """Bits of a wide fingerprint that differ at a Jaccard similarity, and SLACK standard deviations more."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = WIDE * BITS
+    return int(bits * angle + SLACK * np.sqrt(bits * angle * (1 - angle)))
+
+
+def bands(n: int, similarity: float) -> list[list[int]]:
+    """Bits of each band, drawn once and for all: as many as n fingerprints need to spread, in as many bands as RECALL needs."""
+    width = min(24, max(8, int(np.ceil(np.log2(max(n, 2) / BAND_ROWS)))))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
+    rng = np.random.default_rng(width)
+    return [sorted(rng.choice(WIDE * BITS, width, replace=False).tolist()) for _ in range(int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree))))]
+
+
+def similar_links(distinct: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (u, v) between keys that span the groups of wide fingerprints (key, words) within the budget of a similarity."""
+    drawn, errors = bands(n, similarity), wide_budget(similarity)
+    per = 16  # bands that are made at a time
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.asarray(column_of(batch, "words").flatten()).view(np.uint64).reshape(-1, WIDE)
+            bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+            for at in range(0, len(drawn), per):
+                some = drawn[at : at + per]
+                meet = np.stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) + (k << 32) for k, b in enumerate(some, at)], axis=1)
+                order = np.repeat(np.arange(len(words)), len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(meet.ravel()), column_of(batch, "key").take(pa.array(order)), column_of(batch, "words").take(pa.array(order))], ["meet", "key", "words"])
+
+    dealt = distinct.select("key", "words").mapInArrow(deal, "meet long, key long, words array<long>").repartition("meet")
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        meet, key = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("meet", "key"))
+        words = np.concatenate([np.asarray(column_of(b, "words").flatten()).view(np.uint64).reshape(-1, WIDE) for b in held])
+        del held
+        bucket = np.unique(meet, return_inverse=True)[1].astype(np.uint64)
+        fixed = max(1, int(bucket.max()).bit_length())
+        size = BITS - fixed
+        keys = (bucket << np.uint64(size)) | (words[:, 0] >> np.uint64(fixed))  # the bucket's number stands before the first word's bits
+        order = np.lexsort((key, keys))
+        keys, key, words = keys[order], key[order], words[order]
+        words[:, 0] &= np.uint64((1 << fixed) - 1)  # what the sorted key leaves out
+        label = trie_groups(keys, fixed, errors, words)
+        member = label != np.arange(len(label))
+        if member.any():
+            links = np.unique(np.stack([key[member], key[label[member]]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near duplicates: one row of each group stays, that with the least id (nulls last); all columns stay.
+
+    Texts are alike if their wide fingerprints differ in no more bits than texts whose shingles (of `width` words)
+    have the Jaccard similarity usually do. A text of white space alone is alike only to its kind.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
+    schema = docs.withColumns({"_row": F.lit(0).cast("long"), "_words": F.array(F.lit(0).cast("long"))}).schema
+
+    def mark(batches):
+        for whole in batches:
+            for batch in chunks([pa.RecordBatch.from_arrays([*whole.columns, whole.column(at).fill_null("")], [*whole.schema.names, "text of the row"])], "text of the row"):
+                words = wide_fingerprints_of(column_of(batch, "text of the row"), width, WIDE)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * WIDE, pa.int32()), pa.array(words.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*whole.schema.names, "_words"])
+
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    held = written(numbered.mapInArrow(mark, schema), "marked")
+    # the least (id, row) of each fingerprint stands for its copies
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r")))
+    distinct = held.groupBy(F.col("_words").alias("words")).agg(first.alias("first"))
+    distinct = written(distinct.select("words", "first", F.col("first.r").alias("key")), "distinct")
+    roots = components(similar_links(distinct, distinct.count(), similarity))
+    grouped = distinct.select("key", "first").join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(grouped.select(F.col("first.r").alias("_row")), "kept")
+    return held.join(kept, "_row", "left_semi").select(*names)
