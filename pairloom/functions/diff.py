@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import kind
+
 CHANGE = "struct<line_no:int,char_start:int,char_end:int,text:string>"
 
 
@@ -75,17 +77,17 @@ def repaired(changes: list[dict], code: str, fallback) -> tuple[list[dict], str]
     return fallback(), "difflib"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(kind("double"))
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("struct<added:int,removed:int,similarity:double>")
+@F.pandas_udf(kind("struct<added:int,removed:int,similarity:double>"))
 def _measured(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measured(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["added", "removed", "similarity"])
 
 
-@F.pandas_udf(f"struct<deleted:array<{CHANGE}>,added:array<{CHANGE}>>")
+@F.pandas_udf(kind(f"struct<deleted:array<{CHANGE}>,added:array<{CHANGE}>>"))
 def _line_changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([line_changes(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["deleted", "added"])
 
@@ -94,7 +96,7 @@ def _dicts(changes) -> list[dict]:
     return [] if changes is None else [dict(c) for c in changes]
 
 
-@F.pandas_udf(f"struct<changes:array<{CHANGE}>,method:string>")
+@F.pandas_udf(kind(f"struct<changes:array<{CHANGE}>,method:string>"))
 def _repaired(changes: pd.Series, code: pd.Series, other: pd.Series, is_old: pd.Series) -> pd.DataFrame:
     rows = []
     for own, text, against, old in zip(changes, code, other, is_old, strict=True):

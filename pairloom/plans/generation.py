@@ -34,6 +34,7 @@ class FixedProvider:
 def completed(requests: DataFrame, provider: Provider, threads: int = 8, error: str = TEACHER_ERROR, output: str = "generated_response") -> DataFrame:
     """requests (prompt, api_max_tokens) with the answers; a failed call's answer is the error's text. Rows go in batches, `threads` at a time."""
     schema = requests.withColumn(output, F.lit(None).cast("string")).schema
+    columns = [*requests.columns, output]
 
     def ask(row) -> str:
         try:
@@ -46,7 +47,7 @@ def completed(requests: DataFrame, provider: Provider, threads: int = 8, error:
             for batch in batches:
                 answers = list(pool.map(ask, zip(batch["prompt"], batch["api_max_tokens"], strict=True)))
                 batch[output] = pd.Series(answers, dtype="object", index=batch.index)
-                yield batch[[*requests.columns, output]]
+                yield batch[columns]
 
     return requests.mapInPandas(run, schema)
 

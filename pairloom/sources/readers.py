@@ -22,9 +22,8 @@ def json_lines_lenient(spark: SparkSession, path, schema: T.StructType) -> DataF
 def json_lines_counted(spark: SparkSession, path, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, one row with skipped_errors: the lines that aren't JSON)."""
     marked = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    read = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
     lines = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
-    return read.filter(F.col(BAD).isNull()).drop(BAD), lines.agg(F.count_if(F.col(f"r.{BAD}").isNotNull()).alias("skipped_errors"))
+    return lines.filter(F.col(f"r.{BAD}").isNull()).select("r.*").drop(BAD), lines.agg(F.count_if(F.col(f"r.{BAD}").isNotNull()).alias("skipped_errors"))
 
 
 def numbered_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:

@@ -21,8 +21,8 @@ def sessions(log: DataFrame, run: str, ts: str, length: str, value: str, gap: st
     A session's window ends `gap` after its last row, and a row at the very end would begin another; so the gap is a
     millisecond longer, and rows exactly `gap` apart stay together. Works on streams, with the watermark, and on tables.
     """
-    if log.isStreaming:
-        log = log.withWatermark(ts, WATERMARK)
+    if log.isStreaming:  # a watermark needs a timestamp with the session's zone
+        log = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, WATERMARK)
     window = F.session_window(ts, _longer(gap))
     return log.groupBy(run, window.alias("session")).agg(F.count("*").alias("size"), F.max(length).alias("max_length"), F.avg(value).alias("avg_value"))
 

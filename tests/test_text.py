@@ -39,7 +39,7 @@ def test_null_vocabularies(spark):
 
 
 def test_clean_list_and_line_numbers(spark):
-    row = spark.sql("select array(' a', 'None', null, '') l, array(struct(3 line_no, 'x' text), struct(1, ' '), struct(3, 'y'), struct(2, 'z')) c, cast(null as array<string>) n")
+    row = spark.sql("select array(' a', 'None', null, '') l, array(struct(3 line_no, 'x' text), struct(1 line_no, ' ' text), struct(3 line_no, 'y' text), struct(2 line_no, 'z' text)) c, cast(null as array<string>) n")
     assert tuple(row.select(X.clean_list(F.col("l")), X.line_numbers(F.col("c")), X.clean_list(F.col("n"))).first()) == (["a"], [2, 3], [])
 
 
