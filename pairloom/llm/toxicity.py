@@ -89,6 +89,10 @@ class Lexicon:
         self.start = self._state({(0, 0)})
         self.dead = self._state(set())
 
+    def plain(self) -> tuple:
+        """What a lexicon is made of, as built-in types: workers need no copy of this package to read it."""
+        return self.terms, self.held, self.clean_words
+
     def _state(self, reached: set[tuple[int, int]]) -> int:
         """The number of a state, closed under skipping a letter of the term."""
         todo = list(reached)
@@ -288,10 +292,10 @@ def most_specific(terms: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int
 
 def reliability(rows: DataFrame, terms: dict[str, float]) -> tuple[dict[str, float], frozenset[str]]:
     """How far documents with hits of one kind alone are toxic, and near-spellings that clean documents use."""
-    sent = rows.sparkSession.sparkContext.broadcast(Lexicon(terms, dict.fromkeys(PRIOR, 1.0)))
+    sent = rows.sparkSession.sparkContext.broadcast(Lexicon(terms, dict.fromkeys(PRIOR, 1.0)).plain())
 
     def run(batches):
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Lexicon(*sent.value))
         for batch in chunks(batches):
             toxic = column_of(batch, "toxic").to_pylist()
             counts = Counter()
@@ -317,11 +321,11 @@ def reliability(rows: DataFrame, terms: dict[str, float]) -> tuple[dict[str, flo
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # MOST_TERMS terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon.plain())  # MOST_TERMS terms at most
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Lexicon(*sent.value))
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(scorer.scores(column_of(batch, "text")))], ["id", "score"])
 
@@ -331,11 +335,11 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon.plain())
     at = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Lexicon(*sent.value))
         for whole in batches:
             for batch in chunks([pa.RecordBatch.from_arrays([*whole.columns, whole.column(at).fill_null("")], [*whole.schema.names, "text of the row"])], "text of the row"):
                 clean = pa.array(scorer.scores(column_of(batch, "text of the row")) < threshold)
