@@ -42,7 +42,7 @@ FIT_ROWS, MOST_TERMS = 20_000, 5_000
 #: A term's least odds of toxic against clean, least toxic documents and contexts; stems by length.
 LEAST_RATIO, LEAST_DOCUMENTS, LEAST_CONTEXTS, STEMS = 20.0, 3, 3, (4, 5, 6)
 #: Terms that chance alone may bring in, and the share of a stem's documents from which one longer term stands for it.
-CHANCE, EXPLAINED = 0.01, 0.95
+CHANCE, EXPLAINED = 0.01, 0.8
 #: Errors allowed to words of so many letters at least.
 ERRORS, FUZZY_LETTERS = 1, 5
 FLOOR, THRESHOLD = 0.02, 0.7
