@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_description, line_numbers, numbered, present, token_count, truncate_tokens
+from .text import has_description, line_numbers, lines, numbered, present, strip, token_count, truncate_tokens
 
 # Context size, tokens kept free for the answer, and the least worth of a cut message.
 CAPACITY, RESERVED, LEAST_MESSAGE = 32768, 4096, 40
@@ -16,6 +16,10 @@ VULNERABLE_HINT = "Hint: This code contains a security vulnerability."
 VULNERABLE_LINES = "The changed lines that might be related to the vulnerability are: "
 PATCHED_HINT = "Hint: This code is the patched (non-vulnerable) version."
 PATCHED_LINES = "The lines where the fix was applied are: "
+YES_NO_TASK = (
+    "Please indicate your analysis result *only* with one of the following exact statements, without any additional explanatory text: "
+    "'(1) YES: A security vulnerability detected.' or '(2) NO: No security vulnerability.'."
+)
 YES_NO_HEAD = "Please analyze the following code:\n```\n"
 YES_NO_TAIL = (
     "\n```\nPlease indicate your analysis result with one of the options: \n(1) YES: A security vulnerability detected.\n"
@@ -60,6 +64,18 @@ def yes_no_prompt(code: Column) -> Column:
     return F.concat(F.lit(YES_NO_HEAD), code, F.lit(YES_NO_TAIL))
 
 
+def first_generation_prompt(code: Column, description: Column, is_vulnerable: Column, changed: Column, number_above: int = 20) -> Column:
+    """The prompt of the first generation of data, with real line breaks: lines are numbered in longer code only."""
+    text = F.when(F.size(lines(code)) > number_above, numbered(code)).otherwise(code)
+    known = F.when(has_description(description), F.concat(F.lit("The associated CVE description is: "), strip(description), F.lit("\n\n")))
+    label = F.when(is_vulnerable, "vulnerable").otherwise("not vulnerable")
+    more = F.when(is_vulnerable, F.concat(F.lit(VULNERABLE_LINES), F.nullif(changed, F.lit("")), F.lit(".\n"))).otherwise("This code snippet is the non-vulnerable version.\n")
+    return F.concat(
+        F.lit("Please analyze the following code snippet:\n\n```\n"), text, F.lit("\n```\n\n"), F.coalesce(known, F.lit("")),
+        F.lit("Hint: According to the ground truth, this code snippet is considered "), label, F.lit(".\n"), F.coalesce(more, F.lit("")), F.lit("\nTask: " + YES_NO_TASK),
+    )
+
+
 def requests(pairs, drop_message_with_description: bool = True, longest_answer: int = CAPACITY):
     """Two rows for each pair, vulnerable and patched, with prompt, prompt_tokens and api_max_tokens; what can't fit is dropped.
 

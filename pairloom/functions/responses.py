@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import PARSED
+from ..schemas import PARSED, kind
 from .text import strip
 
 THINK_END = "</think>"
@@ -90,6 +90,26 @@ def parse(response: Column) -> Column:
     return _parse(response)
 
 
+@F.pandas_udf(kind("array<bigint>"))
+def _aliased_lines(responses: pd.Series) -> pd.Series:
+    found = []
+    for r in responses:
+        answer = answer_object((r or "").partition(THINK_END)[2]) or {}
+        found.append(whole_numbers(answer.get("important_lines", answer.get("vulnerable_lines", []))))
+    return pd.Series(found)
+
+
+def aliased_lines(response: Column) -> Column:
+    """The lines that an answer gives under either of their names."""
+    return _aliased_lines(response)
+
+
+def after_thinking(response: Column) -> Column:
+    """The text after the first end of thinking; null if there is none."""
+    at = F.instr(response, THINK_END)
+    return F.when(at > 0, strip(response.substr(at + len(THINK_END), F.length(response))))
+
+
 def for_reward(parsed: Column) -> tuple[Column, Column]:
     """(classification, lines), only of VALID answers."""
     valid = parsed["status"] == "VALID"

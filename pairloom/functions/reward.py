@@ -62,3 +62,24 @@ def line_scores(truth: Column, predicted: Column) -> Column:
     recall = F.when(F.size(p) == 0, 0.0).otherwise(hits / F.greatest(F.size(t), F.lit(1)))
     f1 = F.when(hits == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
     return F.when(F.size(t) > 0, F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1")))
+
+
+def registered_reward(spark, path: str, function: str, name: str = "custom_reward"):
+    """A reward function of a Python file, f(data_source, solution, ground_truth, extra_info) -> number, registered for SQL and returned.
+
+    The file's text travels with the task, so workers needn't have it.
+    """
+    from pyspark.sql import types as T
+
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+    held: dict = {}
+
+    def call(data_source, solution, ground_truth, extra_info):
+        if function not in held:
+            space: dict = {"__name__": "custom_reward"}
+            exec(compile(source, path, "exec"), space)  # noqa: S102  the user's own function
+            held.update(space)
+        return float(held[function](data_source, solution, ground_truth, extra_info))
+
+    return spark.udf.register(name, call, T.DoubleType())

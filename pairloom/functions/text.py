@@ -149,8 +149,8 @@ def series_name(run: Column) -> Column:
 
 
 def temperature_label(folder: Column) -> Column:
-    """The temperature in a folder's name such as metrics_temp0p2."""
-    return F.when(folder.contains("temp"), F.replace(F.regexp_extract(folder, r"temp([0-9p]+)", 1), F.lit("p"), F.lit("."))).otherwise("")
+    """What a metrics folder's name says after its prefix (metrics_temp0p2: temp0p2); a bare one is the default."""
+    return F.when(folder == "metrics", "default").otherwise(F.regexp_replace(folder, "metrics_", ""))
 
 
 def token_count(text: Column) -> Column:

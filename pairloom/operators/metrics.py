@@ -66,6 +66,11 @@ def metrics(responses: DataFrame, by: tuple[str, ...] = ("prompt_type",), subset
     return joined.select(F.lit(subset).alias("subset"), *by, "total_samples", "parseable_samples", "unparseable_samples", "standard_metrics", F.struct(*fields).alias("pairwise_metrics"), F.when(F.col("prompt_type") == "training", F.col("_lines")).alias("line_localization_metrics"))
 
 
+def of_prompt_type(responses: DataFrame, wanted: str, column: str = "prompt_type") -> DataFrame:
+    """Responses of one prompt type; those that name none are of the type unknown."""
+    return responses.filter(F.coalesce(F.col(column), F.lit("unknown")) == wanted)
+
+
 def reports(responses: DataFrame, first: str = "primevul_test") -> DataFrame:
     """The documents of one split and of all together."""
     return metrics(responses.filter(F.col("split") == first), subset=first).unionByName(metrics(responses))

@@ -14,8 +14,10 @@ def flattened(documents: DataFrame) -> DataFrame:
     """One row for each run: its metrics under short names."""
     c = lambda path: F.col(path).cast("double")
     pair = lambda k: F.col("pairwise_metrics").getField(f"{k}_ratio").cast("double")
+    label = F.when(F.col("temperature") == "default", F.col("run")).otherwise(F.concat("run", F.lit(" ("), "temperature", F.lit(")")))
+    parseable = F.concat_ws("/", *(F.coalesce(F.col(n).cast("string"), F.lit("0")) if n in documents.columns else F.lit("0") for n in ("parseable_samples", "total_samples")))
     return documents.select(
-        "run", "temperature", c("standard_metrics.accuracy").alias("Acc"), c("standard_metrics.f1_score").alias("F1"), *(pair(k).alias(k) for k in ("P-C", "P-V", "P-B", "P-R")), c("line_localization_metrics.avg_f1").alias("Loc F1")
+        "run", "temperature", label.alias("Run"), parseable.alias("Parseable"), c("standard_metrics.accuracy").alias("Acc"), c("standard_metrics.f1_score").alias("F1"), *(pair(k).alias(k) for k in ("P-C", "P-V", "P-B", "P-R")), c("line_localization_metrics.avg_f1").alias("Loc F1")
     )
 
 
@@ -36,10 +38,21 @@ def sort_value(column: Column) -> Column:
 def table(runs: DataFrame, sort_by: str | None = None, descending: bool = False, limit: int | None = None) -> DataFrame:
     if sort_by:
         key = sort_value(F.col(f"`{sort_by}`"))
-        runs = runs.orderBy(key.desc() if descending else key.asc(), "run")
+        runs = runs.orderBy(key.desc() if descending else key.asc(), runs.columns[0])
     return runs.limit(limit) if limit else runs
 
 
+def rollouts_with_rewards(rollouts: DataFrame, output: str = "output", truth: str = "gts", ignore_patched_truth: bool = False) -> DataFrame:
+    """Trainer rollouts with is_vulnerable, n_truth, n_lines (given in answers that parse), and new_score by the graded reward."""
+    from ..functions.responses import aliased_lines, parse, tolerant_truth
+    from ..functions.reward import graded_reward
+
+    rows = rollouts.withColumn("_t", tolerant_truth(F.col(truth))).withColumn("_p", parse(F.col(output)))
+    new = graded_reward(F.col("_p.classification"), F.col("_p.lines"), F.col("_p.status"), F.col("_t.is_vulnerable"), F.col("_t.ground_truth_lines"), ignore_patched_truth)
+    given = F.when(F.col("_p.status") == "VALID", F.size(aliased_lines(F.col(output)))).otherwise(0)
+    return rows.withColumns({"is_vulnerable": F.col("_t.is_vulnerable"), "n_truth": F.size("_t.ground_truth_lines"), "n_lines": given, "new_score": new}).drop("_t", "_p")
+
+
 def rollout_scores(scored: DataFrame, over: str = "n_lines") -> DataFrame:
     """Means and deviation of old and new rewards by label and in total, and how often more lines than the 99th percentile are given."""
     edge = scored.agg(F.percentile(over, F.lit(0.99)).alias("_p99"))

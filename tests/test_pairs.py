@@ -140,7 +140,7 @@ def test_metric_documents_and_rollouts(spark, tmp_path):
         (tmp_path / run / "metrics_temp0p2").mkdir(parents=True)
         (tmp_path / run / "metrics_temp0p2" / "metrics_combined_training.json").write_text(json.dumps({"standard_metrics": {"accuracy": 0.5}}))
     got = readers.metric_documents(spark, str(tmp_path))
-    assert sorted((r.run, r.temperature) for r in got.collect()) == [("grpo_x", "0.2"), ("sft_base_run1", "0.2")]
+    assert sorted((r.run, r.temperature) for r in got.collect()) == [("grpo_x", "temp0p2"), ("sft_base_run1", "temp0p2")]
     (tmp_path / "r").mkdir()
     for name in ("3.jsonl", "last.jsonl"):
         (tmp_path / "r" / name).write_text('{"output": "x", "gts": "{}", "score": 1.0}\n')
@@ -150,6 +150,21 @@ def test_metric_documents_and_rollouts(spark, tmp_path):
     assert sorted(r.step for r in rolled.collect()) == [-1, 3] and readers.latest_files(rolled, 1).count() == 1
 
 
+def test_rl_audit(spark):
+    code = "```c\n1: a;\n2: b;\n3: c;\n4: d;\n```"
+    truth = lambda v, *n: json.dumps({"is_vulnerable": v, "ground_truth_lines": list(n)})
+    rows = [
+        ("p1", code + " This code contains a security vulnerability", truth(True, 2), True), ("p2", code, truth(True, 9), True), ("p3", "```c\n1: a;\n```", truth(True), True),
+        ("p4", code + " This code contains a security vulnerability", truth(False), False), ("p5", code + " the patched (non-vulnerable) version", truth(True, 1), True),
+    ]
+    df = spark.createDataFrame([([("user", prompt)], (t,), (i, n, v)) for n, (i, prompt, t, v) in enumerate(rows)], "prompt array<struct<role:string,content:string>>, reward_model struct<ground_truth:string>, extra_info struct<pair_id:string,idx:int,is_vulnerable:boolean>")
+    known = pairs(spark, row(A, "x", pair_id="p1", deleted_lines=[(2, None, None, "zzz")]), row(B, "x", pair_id="p5", deleted_lines=[(1, None, None, "a;")]))
+    names = ("oob", "misindexed", "vulnerable_without_lines", "tiny", "hint_conflict", "patched_hint_conflict")
+    got = {r.pair_id: [n for n in names if r[n]] for r in audit.rl_flags(df, known).collect()}
+    assert got == {"p1": ["misindexed"], "p2": ["oob"], "p3": ["vulnerable_without_lines", "tiny"], "p4": ["hint_conflict"], "p5": ["patched_hint_conflict"]}
+    assert {r.source: r.total for r in audit.rl_report(audit.rl_flags(df, known), "source").collect()} == {A: 1, B: 1, "Unknown": 3}
+
+
 def test_unique_index_and_ordinals(spark):
     with pytest.raises(lookups.DuplicateKeys):
         lookups.unique_index(spark.createDataFrame([(1,), (1,)], "k int"), "k")
