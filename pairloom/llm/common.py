@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
 import tempfile
 import types
@@ -19,8 +18,6 @@ CHUNK_BYTES = 4 << 20
 #: A word, as all word-based operators take it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,31 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver exits."""
-    path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+    """A new path in the shared folder. What is written there goes when the driver's JVM ends, if forget_at_exit() is told."""
+    return f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
 
 
-def forget(spark: SparkSession, path: str) -> None:
+def forget_at_exit(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _forget_all() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                forget(spark, path)
-        except Exception:  # the session or its JVM may be gone; the folder is scratch
-            return
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and an executor's loss costs no recomputation before it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, written
+from .common import forget_at_exit, scratch_path, written
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 64 << 10, 16 << 10, 2048
 #: Repeated digests up to this number (about 60 bytes each) are broadcast; beyond it they are joined by a shuffle.
@@ -244,6 +244,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     """The columns that op3 returns, read back from archives written of the pages."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path)
+    forget_at_exit(pages.sparkSession, path)
     return read_pages(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
