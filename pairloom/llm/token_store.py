@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import chunks, column_of, gather, scratch_path, text_or_empty, tokenizer_path, words_of, worker_cache, written
+from .common import chunks, column_of, forget_at_exit, gather, scratch_path, text_or_empty, tokenizer_path, words_of, worker_cache, written
 
 #: Ids in a row of a shard, and rows in a batch.
 SEQUENCE, BATCH_ROWS = 2048, 256
@@ -42,6 +42,38 @@ KEPT_WORDS = 200_000
 END_ID = 1
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+
+
+def finer(texts: pa.Array) -> pa.Array:
+    """The texts in lower case (ASCII only) and with a blank where a letter is followed by a mark: the same ids from fewer words.
+
+    The vocabulary's normaliser folds case after composing characters, and its splitter parts letters from marks, the
+    apostrophe apart; ASCII marks compose with nothing before them. Texts that may hold a special token are left alone.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if len(data) < 3 or b"<|" in data.tobytes():
+        return texts
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _LETTER[data[:-1]]
+    latin = (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # two-byte Latin letters
+    cut[2:] |= latin
+    cut &= _MARK[data]
+    cut[offsets[:-1][offsets[:-1] < len(data)]] = False  # what stands before belongs to another text
+    added = np.concatenate([[0], np.cumsum(cut)])
+    laid = np.full(len(data) + int(added[-1]), 32, np.uint8)
+    plain = np.ones(len(data), bool)  # a letter before anything but ASCII may compose with it, which its case decides
+    plain[:-1] = data[1:] < 0x80
+    laid[np.arange(len(data)) + added[1:]] = np.where(plain, _LOWER[data], data)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets + added[offsets]).astype(np.int64)), pa.py_buffer(laid))
+
+
 class WordEncoder:
     """Ids of words by the tokenizers library, kept as runs of one growing array."""
 
@@ -54,7 +86,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
-        words, codes, offsets = words_of(texts)
+        words, codes, offsets = words_of(finer(texts))
         spelled = words.to_pylist()
         young, old = self.generations
         if len(young.place) > KEPT_WORDS:
@@ -219,6 +251,7 @@ def stored_documents(docs: DataFrame, vocabulary_path: str | None = None) -> Dat
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write_store(docs, path, vocabulary_path)
+    forget_at_exit(spark, path)
     read = written(read_store(spark, path), "token-index")
     shards = read.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
     of_part = shards.groupBy("part").agg(F.sum("n").alias("n"))  # a few rows: ids before each partition, then before each of its shards
