@@ -148,10 +148,10 @@ def shard_bytes(part: int, number: int, ids: np.ndarray, doc_ids: np.ndarray, va
     """One shard as an Arrow stream; ids that fit take two bytes."""
     rows = -(-len(ids) // sequence)
     width = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
-    laid, mask = np.zeros(rows * sequence, width), np.zeros(rows * sequence, np.uint8)
-    laid[: len(ids)], mask[: len(ids)] = ids, 1
+    laid, mask = np.zeros(rows * sequence, width), np.zeros(rows * sequence, bool)
+    laid[: len(ids)], mask[: len(ids)] = ids, True
     about = {"part": str(part), "number": str(number), "n_ids": str(len(ids)), "doc_ids": doc_ids.astype("<i8").tobytes(), "doc_valid": valid.astype(np.uint8).tobytes(), "doc_sizes": sizes.astype("<i8").tobytes()}
-    schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(width), sequence)), ("mask", pa.list_(pa.uint8(), sequence))], metadata=about)
+    schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(width), sequence)), ("mask", pa.list_(pa.bool_(), sequence))], metadata=about)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, schema) as out:
         for at in range(0, rows, BATCH_ROWS):
@@ -173,9 +173,10 @@ class Shard:
         self.doc_valid = np.frombuffer(about[b"doc_valid"], np.uint8).astype(bool)
 
     def row(self, i: int, column: str = "input_ids") -> np.ndarray:
-        """Row i as a view of the buffer."""
+        """Row i as a view of the buffer; the mask's bits are unpacked."""
         batch = self.batches[i // BATCH_ROWS]
-        return _items(batch.column(column))[(i % BATCH_ROWS) * self.sequence :][: self.sequence]
+        items = batch.column(column)[i % BATCH_ROWS].values
+        return items.to_numpy(zero_copy_only=column != "mask")
 
     def ids(self) -> np.ndarray:
         parts = [_items(b.column("input_ids")) for b in self.batches]
