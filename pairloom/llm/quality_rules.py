@@ -157,3 +157,52 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         F.col(f"m.{id_col}").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.size(broken) == 0)).alias("kept"), F.array_join(broken, ",").alias("broken_rules"),
     )
+
+
+def _rule_rows() -> str:
+    values = {"symbols_per_mille": "1000 * n_symbols // greatest(word_chars, 1)", "repeat_per_mille": "1000 * n_repeat_words // greatest(n_words, 1)", "dup_lines_per_mille": "1000 * n_dup_lines // greatest(n_lines, 1)", "word_length_tenths": "10 * word_chars // greatest(n_words, 1)"}
+    return " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS rule, {floor} AS low, {values[k]} AS v FROM m" for k, (_, floor) in RULES.items())
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, lang, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (
+  SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest(w[1:len(w) - 2]) AS a, unnest(w[2:len(w) - 1]) AS b, unnest(w[3:len(w)]) AS c
+  FROM w WHERE len(w) >= 4),
+h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY rid),
+m AS (
+  SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+  FROM w LEFT JOIN r ON w.rid = r.rid),
+x AS ({_rule_rows()}),
+s AS (SELECT lang, source, rule, low, CASE WHEN v <= 0 THEN -1 ELSE floor(log2(v) * {BINS} + 1e-9)::INT END AS bin, count(*) AS n FROM x GROUP BY ALL),
+k AS (
+  SELECT 'own' AS level, * FROM s
+  UNION ALL SELECT 'lang', lang, NULL, rule, low, bin, sum(n) FROM s GROUP BY ALL
+  UNION ALL SELECT 'all', NULL, NULL, rule, low, bin, sum(n) FROM s GROUP BY ALL),
+u AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM k),
+q AS (
+  SELECT level, lang, source, rule, low, max(total) AS total, min(CASE WHEN upto >= total * 0.5 THEN bin END) AS a, min(CASE WHEN upto >= total * {UPPER} THEN bin END) AS b
+  FROM u GROUP BY ALL),
+t AS (
+  SELECT *, CASE WHEN a < 0 THEN 0 ELSE ceil(pow(2.0, (a + 1) / {BINS}.0) - 1e-9) - 1 END AS mid,
+    CASE WHEN b < 0 THEN 0 ELSE ceil(pow(2.0, (b + 1) / {BINS}.0) - 1e-9) - 1 END AS high FROM q),
+f AS (SELECT level, lang, source, rule, total, greatest(low, mid + (high - mid) * {SPREAD}) AS fence FROM t),
+v AS (
+  SELECT x.rid, bool_or(x.v > CASE WHEN o.total >= {MIN_GROUP} THEN o.fence WHEN l.total >= {MIN_GROUP} THEN l.fence ELSE e.fence END) AS broken
+  FROM x
+  JOIN f o ON o.level = 'own' AND o.rule = x.rule AND o.lang IS NOT DISTINCT FROM x.lang AND o.source IS NOT DISTINCT FROM x.source
+  JOIN f l ON l.level = 'lang' AND l.rule = x.rule AND l.lang IS NOT DISTINCT FROM x.lang
+  JOIN f e ON e.level = 'all' AND e.rule = x.rule
+  GROUP BY x.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT broken AS kept
+FROM m JOIN v ON m.rid = v.rid
+"""

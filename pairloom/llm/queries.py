@@ -49,4 +49,4 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_warc, op4_nearest_neighbours, op5_token_counts, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece)}
-ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
