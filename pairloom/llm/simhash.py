@@ -349,4 +349,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(similar_links(distinct, distinct.count(), similarity))
     grouped = distinct.select("key", "first").join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
     kept = written(grouped.select(F.col("first.r").alias("_row")), "kept")
-    return held.join(kept, "_row", "left_semi").select(*names)
+    # the texts are shuffled once, at every size alike: which rows stay is known by row alone, and that list grows with the corpus
+    return held.join(kept.hint("merge"), "_row", "left_semi").select(*names)
