@@ -12,8 +12,8 @@ ends is sorted, so a hot source doesn't meet in one task.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of
 its own, after all others; repeated rows are mixed one by one (equal keys follow
-id and size); a document straddling the budget's end is taken if that brings the
-total nearer; a source of size 0 has target 0; an empty table gives an empty
+id and size, and rows equal in all three go together); a document straddling the
+budget's end is taken if that brings the total nearer; a source of size 0 has target 0; an empty table gives an empty
 result; extra columns are not looked at.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from .common import WORD, text_or_empty, written
 
 #: Ordered bins of the key for each source.
-BINS = 65536
+BINS = 4096
 #: Weights by the source's place in code-point order, repeating; share of all sizes that is mixed; epochs at most.
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 SEED = "mix-1"
@@ -44,10 +44,11 @@ def quality_weight(text: Column) -> Column:
     return 1.0 / (1.0 + 10.0 * symbols / F.greatest(F.length(text), F.lit(1)))
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Column | None) -> DataFrame:
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Column | None, *columns: str) -> DataFrame:
+    """(id, src, size, key, bin) of each document, and `columns`."""
     text = text_or_empty(text_col)
-    thin = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (quality_weight(text) if weight is None else weight).alias("weight"))
-    keyed = thin.select("id", "src", "size", (-F.ln(uniform(F.col("id"), seed)) / F.col("weight")).alias("key"))
+    thin = docs.select(*columns, F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (quality_weight(text) if weight is None else weight).alias("weight"))
+    keyed = thin.select(*columns, "id", "src", "size", (-F.ln(uniform(F.col("id"), seed)) / F.col("weight")).alias("key"))
     return keyed.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int"))
 
 
@@ -86,36 +87,61 @@ def plan(by_bin: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     )
 
 
+def cutoffs(sized: DataFrame, planned: DataFrame) -> DataFrame:
+    """The plan with the place (key, id, size) of the last document that the rest takes; null where it takes none of its end bin.
+
+    Only the bin in which the rest ends is sorted. Documents of equal place are taken together or not at all.
+    """
+    s, p = sized.alias("s"), planned.alias("p")
+    last = s.join(p, F.col("s.src").eqNullSafe(F.col("p.src")) & (F.col("s.bin") == F.col("p.end_bin")))
+    place = F.struct(F.col("key"), F.col("id"), F.col("size"))
+    tied = last.groupBy(F.col("s.src").alias("src"), "rest", "end_before", place.alias("place")).agg(F.sum("size").alias("sum"))
+    order = Window.partitionBy("src").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("end_before") + F.coalesce(F.sum("sum").over(order), F.lit(0))
+    taken = tied.withColumn("upto", upto).filter(2 * F.col("upto") + F.col("sum") <= 2 * F.col("rest"))
+    ends = taken.groupBy("src").agg(F.max("place").alias("last"))
+    e = ends.alias("e")
+    return planned.alias("p").join(e, F.col("p.src").eqNullSafe(F.col("e.src")), "left").select("p.*", "e.last")
+
+
+def decided(sized: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
+    """sized with source_size, target, epochs and taken, by each row's own place alone; `columns` are kept."""
+    s, p = sized.alias("s"), ends.alias("p")
+    both = s.join(p, F.col("s.src").eqNullSafe(F.col("p.src")))
+    within = (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & F.col("last").isNotNull() & (F.struct("key", "id", "size") <= F.col("last")))
+    taken = F.col("size") * F.col("epochs") + F.when(within, F.col("size")).otherwise(0)
+    return both.select(*(F.col(f"s.{c}").alias(c) for c in columns), "size", "source_size", "target", "epochs", taken.alias("taken"))
+
+
+def planned_ends(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    by_bin = written(sized.groupBy("src", "bin").agg(F.sum("size").alias("size")), "bins")
+    planned = written(plan(by_bin, weights, share, most), "mix-plan")
+    return written(cutoffs(sized, planned), "mix-ends")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None,
 ) -> DataFrame:
     """One row for each document: id, size, source_size, target, epochs of its source, and words taken."""
     sized = written(sizes(docs, id_col, text_col, source_col, seed, weight), "sizes")
-    by_bin = written(sized.groupBy("src", "bin").agg(F.sum("size").alias("size")), "bins")
-    planned = written(plan(by_bin, weights, share, most), "mix-plan")
-    s, p = sized.alias("s"), planned.alias("p")
-    both = s.join(p, F.col("s.src").eqNullSafe(F.col("p.src"))).select("id", F.col("s.src").alias("src"), "size", "key", "bin", "source_size", "target", "epochs", "rest", "end_bin", "end_before")
-    sure = both.filter("bin <> end_bin").withColumn("extra", F.when(F.col("bin") < F.col("end_bin"), F.col("size")).otherwise(0))
-    order = Window.partitionBy("src").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = both.filter("bin = end_bin").withColumn("upto", F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = last.withColumn("extra", F.when(2 * F.col("upto") + F.col("size") <= 2 * F.col("rest"), F.col("size")).otherwise(0)).drop("upto")
-    return sure.unionByName(last).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs") + F.col("extra")).alias("taken"), F.col("src").alias(source_col)
-    )
+    found = decided(sized, planned_ends(sized, weights, share, most), "id", "src")
+    return found.withColumnsRenamed({"id": id_col, "src": source_col})
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
     """docs as the mix takes them: a row for each time that it is taken whole, none if it isn't; columns stay.
 
-    An empty document goes with its source's complete epochs.
+    An empty document goes with its source's complete epochs. Texts aren't shuffled: what a source's plan says of a
+    place in the order decides each row where it is.
     """
-    held = written(docs.withColumn("_row", F.monotonically_increasing_id()), "unmixed")
-    taken = mix(held.withColumn("_key", F.struct(F.col(id_col), F.col("_row"))), "_key", text_col, source_col, **how)
+    names = docs.columns
+    ends = planned_ends(written(sizes(docs, id_col, text_col, source_col, seed, None), "sizes"), **how)
+    row = docs.select(F.struct(*names).alias("_row"), F.col(id_col), F.col(text_col), F.col(source_col))
+    sized = sizes(row, id_col, text_col, source_col, seed, None, "_row")
     times = F.when(F.col("size") > 0, F.col("taken") / F.greatest(F.col("size"), F.lit(1))).otherwise(F.col("epochs")).cast("int")
-    counted = written(taken.select(F.col("_key._row").alias("_row"), times.alias("_times")).filter("_times > 0"), "times")
-    repeated = held.join(counted, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    counted = decided(sized, ends, "_row").withColumn("_times", times).filter("_times > 0")
+    return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
 ORACLE_SQL = """
@@ -143,9 +169,10 @@ e AS (
 f AS (
   SELECT s.doc_id, s.size, e.source_size, e.target, e.epochs, s.source,
     greatest(e.target - e.epochs * e.source_size, 0) AS rest,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
+    sum(s.size) OVER (PARTITION BY s.source, s.key, s.doc_id, s.size) AS tied,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through
   FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, round(target, 4) AS target,
-  (size * epochs + CASE WHEN 2 * upto + size <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
+  (size * epochs + CASE WHEN 2 * (through - tied) + tied <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
 FROM f
 """
