@@ -262,7 +262,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 # -- groups by similarity: wide fingerprints, bands, and the same trie join in each band's buckets
 
 #: Words of a wide fingerprint; its bits that may differ at a similarity; share of pairs at it that some band brings together.
-WIDE, SLACK, RECALL = 4, 1.0, 0.95
+WIDE, SLACK, RECALL = 8, 0.5, 0.9
 #: Fingerprints that agree on a band by chance, about.
 BAND_ROWS = 64
 
