@@ -20,15 +20,17 @@ empty table gives an empty result; extra columns are not looked at.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, text_or_empty, written
+from .common import chunks, column_of, gather, text_or_empty, written
 from .components import components
 
 BITS, SEED = 64, 42
@@ -72,23 +74,6 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(joined, np.uint8).reshape(-1, 8), offsets
 
 
-def wide_fingerprints_of(texts: pa.Array, width: int, words: int) -> np.ndarray:
-    """Fingerprints of words * 64 bits, a row for each text. A text's shingles count once each, and further words mix the hashes anew."""
-    hashes, offsets = shingle_hashes(texts, width)
-    plain = hashes.view(">u8").ravel().astype(np.uint64)
-    found = np.zeros((len(texts), words), np.uint64)
-    for i in range(len(texts)):
-        own = np.unique(plain[offsets[i] : offsets[i + 1]])
-        for k in range(words):
-            mixed = own + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))  # splitmix64
-            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            mixed = (mixed ^ (mixed >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
-            if len(own):
-                found[i, k] = np.packbits(2 * np.unpackbits(mixed, axis=1).sum(axis=0, dtype=np.int64) > len(own)).view(">u8")[0]
-    return found
-
-
 def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
     """The fingerprint of each text."""
     hashes, offsets = shingle_hashes(texts, width)
@@ -151,11 +136,10 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_groups(keys: np.ndarray, fixed: int, errors: int, rest: np.ndarray | None = None) -> np.ndarray:
+def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
     """Group label of each of the sorted distinct keys; keys are linked if the first `fixed` bits agree and `errors` others at most differ.
 
     A trie node is a range lo..hi of the sorted keys; its branch bit is the first in which its ends differ.
-    rest: further words of each fingerprint, a row each, which are compared at the leaves; keys may then be equal.
     """
     n = len(keys)
     label = np.arange(n)
@@ -207,11 +191,7 @@ def trie_groups(keys: np.ndarray, fixed: int, errors: int, rest: np.ndarray | No
         a, b, c, d, bits_a, bits_c = a[near], b[near], c[near], d[near], bits_a[near], bits_c[near]
         leaves = (b - a == 1) & (d - c == 1)
         if leaves.any():
-            la, lc = a[leaves], c[leaves]
-            if rest is not None:
-                away = np.bitwise_count(keys[la] ^ keys[lc]).astype(np.int64) + np.bitwise_count(rest[la] ^ rest[lc]).sum(axis=1, dtype=np.int64)
-                la, lc = la[away <= errors], lc[away <= errors]
-            label = _settle(label, la, lc)
+            label = _settle(label, a[leaves], c[leaves])
             changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         a, b, c, d, bits_a, bits_c = a[~leaves], b[~leaves], c[~leaves], d[~leaves], bits_a[~leaves], bits_c[~leaves]
         if len(a):
@@ -259,94 +239,195 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# -- groups by similarity: wide fingerprints, bands, and the same trie join in each band's buckets
+# -- groups by exact similarity: a prefix join of shingle sets
 
-#: Words of a wide fingerprint; its bits that may differ at a similarity; share of pairs at it that some band brings together.
-WIDE, SLACK, RECALL = 8, 0.5, 0.9
-#: Fingerprints that agree on a band by chance, about.
-BAND_ROWS = 64
+#: Texts that frequent shingles are looked for in, about; texts among them that make one frequent; such shingles, at most.
+SAMPLE, FREQUENT, MOST_FREQUENT = 4_000, 4, 50_000
+#: Pairs that a task makes at a time, about.
+PAIRS = 1 << 20
 
 
-def wide_budget(similarity: float) -> int:
-    """Bits of a wide fingerprint that differ at a Jaccard similarity, and SLACK standard deviations more."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = WIDE * BITS
-    return int(bits * angle + SLACK * np.sqrt(bits * angle * (1 - angle)))
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, offsets = shingle_hashes(texts, width)
+    plain = hashes.view(">u8").ravel().astype(np.uint64)
+    return [np.unique(plain[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def bands(n: int, similarity: float) -> list[list[int]]:
-    """Bits of each band, drawn once and for all: as many as n fingerprints need to spread, in as many bands as RECALL needs."""
-    width = min(24, max(8, int(np.ceil(np.log2(max(n, 2) / BAND_ROWS)))))
-    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
-    rng = np.random.default_rng(width)
-    return [sorted(rng.choice(WIDE * BITS, width, replace=False).tolist()) for _ in range(int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree))))]
+def frequent_shingles(docs: DataFrame, n: int, text_col: str, width: int) -> np.ndarray:
+    """Shingles frequent in a sample of n documents, the rarest first. They only order the shingles: any list gives the same links."""
 
+    def run(batches):
+        for batch in chunks(batches):
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(column_of(batch, "text"), width)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["shingle", "n"])
 
-def similar_links(distinct: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Links (u, v) between keys that span the groups of wide fingerprints (key, words) within the budget of a similarity."""
-    drawn, errors = bands(n, similarity), wide_budget(similarity)
-    per = 16  # bands that are made at a time
+    some = docs.select(text_or_empty(text_col).alias("text")).sample(min(1.0, SAMPLE / max(n, 1)), seed=SEED)
+    counted = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()
+    return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
 
-    def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = np.asarray(column_of(batch, "words").flatten()).view(np.uint64).reshape(-1, WIDE)
-            bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
-            for at in range(0, len(drawn), per):
-                some = drawn[at : at + per]
-                meet = np.stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) + (k << 32) for k, b in enumerate(some, at)], axis=1)
-                order = np.repeat(np.arange(len(words)), len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(meet.ravel()), column_of(batch, "key").take(pa.array(order)), column_of(batch, "words").take(pa.array(order))], ["meet", "key", "words"])
 
-    dealt = distinct.select("key", "words").mapInArrow(deal, "meet long, key long, words array<long>").repartition("meet")
+def prefix_of(own: np.ndarray, by_hash: np.ndarray, place: np.ndarray, share: Fraction) -> np.ndarray:
+    """The first shingles of a set, frequent ones last: sets of a Jaccard similarity of `share` or more have one of these in common."""
+    if not len(own):
+        return own
+    n = len(own) - ceil(share * len(own)) + 1
+    at = np.minimum(np.searchsorted(by_hash, own), max(len(by_hash) - 1, 0))
+    late = by_hash[at] == own if len(by_hash) else np.zeros(len(own), bool)
+    return np.concatenate([own[~late], own[late][np.argsort(place[at[late]])]])[:n] if late.any() else own[:n]
+
+
+def needed(a: Column, b: Column, share: Fraction) -> Column:
+    """Shingles of the prefixes that two sets of sizes a and b at least have in common if they are alike: all they must share, less what one suffix holds."""
+    both = F.ceil((a + b) * share.numerator / F.lit(share.numerator + share.denominator) - F.lit(1e-9))
+    return both - F.ceil(F.greatest(a, b) * share.numerator / F.lit(share.denominator) - F.lit(1e-9)) + 1
+
+
+def near_sizes(a: Column, b: Column, share: Fraction) -> Column:
+    return F.least(a, b) * share.denominator >= F.greatest(a, b) * share.numerator
+
+
+def partitions(df: DataFrame) -> int:
+    """Spark's number of shuffle partitions; where it is given, they aren't coalesced, so that no task holds many rows."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_shingles(distinct: DataFrame) -> DataFrame:
+    """(shingle, key, size, center, center_size) of prefix shingles that several sets have; center is the least key of these."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        meet, key = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("meet", "key"))
-        words = np.concatenate([np.asarray(column_of(b, "words").flatten()).view(np.uint64).reshape(-1, WIDE) for b in held])
+        shingle, key, size = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size"))
+        del held
+        order = np.lexsort((key, shingle))
+        shingle, key, size = shingle[order], key[order], size[order]
+        begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        counts = np.diff(np.append(begin, len(shingle)))
+        first, many = np.repeat(begin, counts), np.repeat(counts > 1, counts)
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (shingle, key, size, key[first], size[first])], ["shingle", "key", "size", "center", "center_size"])
+
+    rows = distinct.select(F.explode("prefix").alias("shingle"), "key", "size").repartition(partitions(distinct), "shingle")
+    return rows.mapInArrow(run, "shingle long, key long, size long, center long, center_size long")
+
+
+def crossing_pairs(labelled: DataFrame, share: Fraction) -> DataFrame:
+    """(u, v) of all keys with different labels whose prefixes have as many shingles in common as alike sets need."""
+    up, down = share.numerator, share.denominator
+
+    def cross(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        shingle, key, size, label = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size", "label"))
         del held
-        bucket = np.unique(meet, return_inverse=True)[1].astype(np.uint64)
-        fixed = max(1, int(bucket.max()).bit_length())
-        size = BITS - fixed
-        keys = (bucket << np.uint64(size)) | (words[:, 0] >> np.uint64(fixed))  # the bucket's number stands before the first word's bits
-        order = np.lexsort((key, keys))
-        keys, key, words = keys[order], key[order], words[order]
-        words[:, 0] &= np.uint64((1 << fixed) - 1)  # what the sorted key leaves out
-        label = trie_groups(keys, fixed, errors, words)
-        member = label != np.arange(len(label))
-        if member.any():
-            links = np.unique(np.stack([key[member], key[label[member]]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long")
+        order = np.lexsort((key, shingle))
+        shingle, key, size, label = shingle[order], key[order], size[order], label[order]
+        begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        counts = np.diff(np.append(begin, len(shingle)))
+        rest = np.repeat(begin + counts, counts) - np.arange(len(shingle)) - 1  # keys after each in its bucket
+        upto, at = np.cumsum(rest), 0
+        while at < len(rest):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            a = np.repeat(np.arange(at, to), rest[at:to])
+            b = gather(np.arange(at, to) + 1, rest[at:to])
+            least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            kept = (label[a] != label[b]) & (least * down >= most * up)
+            a, b, at = a[kept], b[kept], to
+            if len(a):
+                own, starts = np.unique(a, return_index=True)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(a)), pa.int32()), pa.array(x[b])) for x in (key, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(size[own]), *lists], ["u", "size", "others", "sizes"])
+
+    def count(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        lengths = [np.asarray(pa.compute.list_value_length(column_of(b, "others"))) for b in held]
+        u, a = (np.concatenate([np.repeat(np.asarray(column_of(b, c)), n) for b, n in zip(held, lengths, strict=True)]) for c in ("u", "size"))
+        v, b = (np.concatenate([np.asarray(column_of(x, c).flatten()) for x in held]) for c in ("others", "sizes"))
+        del held
+        order = np.lexsort((v, u))
+        u, v, a, b = u[order], v[order], a[order], b[order]
+        begin = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+        common = np.diff(np.append(begin, len(u)))
+        u, v, a, b = u[begin], v[begin], a[begin], b[begin]
+        least = -(-up * (a + b) // (up + down)) + up * np.maximum(a, b) // -down + 1
+        kept = common >= least
+        yield pa.RecordBatch.from_arrays([pa.array(u[kept]), pa.array(v[kept])], ["u", "v"])
+
+    # a row holds all others of one key in one bucket
+    lists = labelled.repartition(partitions(labelled), "shingle").mapInArrow(cross, "u long, size long, others array<long>, sizes array<long>")
+    return lists.repartition(partitions(labelled), "u").mapInArrow(count, "u long, v long")
+
+
+def alike(pairs: DataFrame, held: DataFrame, text_col: str, width: int, share: Fraction) -> DataFrame:
+    """The pairs (u, v) of rows whose shingle sets have the similarity. Sets are made again from the texts of these rows alone."""
+
+    def run(batches):
+        for batch in chunks(batches):
+            sets = shingle_sets(column_of(batch, "text"), width)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column_of(batch, "key"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["key", "own"])
+
+    pairs = written(pairs, "pairs")
+    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "asked")
+    texts = held.select(F.col("_row").alias("key"), text_or_empty(text_col).alias("text")).join(asked, "key", "left_semi")
+    sets = written(texts.mapInArrow(run, "key long, own array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(common * share.denominator >= (F.size("a") + F.size("b") - common) * share.numerator).select("u", "v")
+
+
+def similar_links(distinct: DataFrame, held: DataFrame, text_col: str, width: int, share: Fraction) -> DataFrame:
+    """Links (u, v) between keys that span all groups of sets at the similarity, and none under it.
+
+    Each bucket's sets are compared with its least key first; then all pairs that aren't yet in one group by that.
+    """
+    shared = written(shared_shingles(distinct), "shared")
+    star = shared.filter((F.col("key") != F.col("center")) & near_sizes(F.col("size"), F.col("center_size"), share))
+    star = star.groupBy("center", "key", "size", "center_size").agg(F.count("*").alias("n"))
+    star = star.filter(2 * F.col("n") >= needed(F.col("size"), F.col("center_size"), share))  # the others are met below
+    first = written(alike(star.select(F.col("center").alias("u"), F.col("key").alias("v")), held, text_col, width, share), "links")
+    roots = components(first)
+    labelled = written(shared.join(roots, F.col("key") == F.col("node"), "left").select("shingle", "key", "size", F.coalesce("root", "key").alias("label")), "labelled")
+    return first.union(written(alike(crossing_pairs(labelled, share), held, text_col, width, share), "links"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: one row of each group stays, that with the least id (nulls last); all columns stay.
 
-    Texts are alike if their wide fingerprints differ in no more bits than texts whose shingles (of `width` words)
-    have the Jaccard similarity usually do. A text of white space alone is alike only to its kind.
+    Texts are alike if the sets of their shingles (of `width` words) have that Jaccard similarity or more, and a group
+    is all that is reached by such links. A text of white space alone is alike only to its kind.
     """
-    names, at = docs.columns, docs.columns.index(text_col)
-    schema = docs.withColumns({"_row": F.lit(0).cast("long"), "_words": F.array(F.lit(0).cast("long"))}).schema
+    names, at, share = docs.columns, docs.columns.index(text_col), Fraction(str(similarity))
+    schema = docs.withColumns({"_row": F.lit(0).cast("long"), "_print": F.lit(b""), "_size": F.lit(0).cast("long"), "_prefix": F.array(F.lit(0).cast("long"))}).schema
+    late = frequent_shingles(docs, docs.count(), text_col, width)
+    place = np.argsort(late)
+    sent = docs.sparkSession.sparkContext.broadcast((late[place], place))  # MOST_FREQUENT at most
 
     def mark(batches):
+        by_hash, place = sent.value
         for whole in batches:
             for batch in chunks([pa.RecordBatch.from_arrays([*whole.columns, whole.column(at).fill_null("")], [*whole.schema.names, "text of the row"])], "text of the row"):
-                words = wide_fingerprints_of(column_of(batch, "text of the row"), width, WIDE)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * WIDE, pa.int32()), pa.array(words.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*whole.schema.names, "_words"])
+                sets = shingle_sets(column_of(batch, "text of the row"), width)
+                prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                first = [prefix_of(s, by_hash, place, share) for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], [*whole.schema.names, "_print", "_size", "_prefix"])
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     held = written(numbered.mapInArrow(mark, schema), "marked")
-    # the least (id, row) of each fingerprint stands for its copies
+    # the least (id, row) of each set of shingles stands for its copies
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r")))
-    distinct = held.groupBy(F.col("_words").alias("words")).agg(first.alias("first"))
-    distinct = written(distinct.select("words", "first", F.col("first.r").alias("key")), "distinct")
-    roots = components(similar_links(distinct, distinct.count(), similarity))
+    distinct = held.groupBy("_print").agg(first.alias("first"), F.first("_size").alias("size"), F.first("_prefix").alias("prefix"))
+    distinct = written(distinct.select("first", F.col("first.r").alias("key"), "size", "prefix"), "distinct")
+    roots = components(similar_links(distinct, held, text_col, width, share))
     grouped = distinct.select("key", "first").join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
     kept = written(grouped.select(F.col("first.r").alias("_row")), "kept")
     # the texts are shuffled once, at every size alike: which rows stay is known by row alone, and that list grows with the corpus

@@ -490,6 +490,35 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one_of_each(empty(spark)).count() == 0
 
 
+def brute_kept(texts, width=5):
+    """The ids that stay when all pairs are compared by exact Jaccard similarity at 0.8."""
+    sets = []
+    for text in texts:
+        words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    return sorted(set(brute_groups(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))))
+
+
+def near_copies(seed, n=60):
+    """Texts and copies of them in which words are changed so that the similarity is about 0.70 to 0.95."""
+    r, texts = random.Random(seed), []
+    for k in range(n):
+        base = prose(r.choice([12, 40, 150, 400]), seed * 1000 + k).split()
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), max(1, round(len(copy) * r.uniform(0.005, 0.035)))):
+                copy[at] = f"changed{r.random()}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_are_those_of_all_pairs(spark, seed):
+    texts = near_copies(seed)
+    assert sorted(x.doc_id for x in simhash.keep_one_of_each(docs(spark, [*texts, None])).collect()) == brute_kept([*texts, None])
+
+
 def test_components_of_long_paths(spark):
     from pairloom.llm.components import components
 
