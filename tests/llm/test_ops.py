@@ -519,6 +519,14 @@ def test_near_duplicates_are_those_of_all_pairs(spark, seed):
     assert sorted(x.doc_id for x in simhash.keep_one_of_each(docs(spark, [*texts, None])).collect()) == brute_kept([*texts, None])
 
 
+def test_links_do_not_depend_on_the_number_of_documents(spark):
+    texts, r = near_copies(3, 40), random.Random(12)
+    others = [" ".join(f"w{r.randrange(10**6)}" for _ in range(8)) for _ in range(40_000)]
+    few = [x.doc_id for x in simhash.keep_one_of_each(docs(spark, [*texts, "last"])).select("doc_id").collect()]
+    many = [x.doc_id for x in simhash.keep_one_of_each(docs(spark, [*texts, *others])).filter(f"doc_id < {len(texts)}").select("doc_id").collect()]
+    assert sorted(x for x in few if x < len(texts)) == sorted(many)
+
+
 def test_components_of_long_paths(spark):
     from pairloom.llm.components import components
 
