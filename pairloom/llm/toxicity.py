@@ -6,7 +6,10 @@ brings about among so many candidates, and stands in several different contexts
 its words). The terms form a trie. A word of a text is run through the
 Levenshtein automata of all terms intersected with that trie: a state is the set
 of (node, errors) reached, made when it is first needed. A word that ends in a
-term's node with no error is an exact hit, with an error a misspelled one.
+term's node with no error is an exact hit, with an error a misspelled one; so are
+a word whose first letters are a stem but for one error, and one with two
+neighbouring letters of a term or stem swapped. Terms of four letters and
+stems have kinds of their own, which count only if labelled rows bear them out.
 
 Each hit weighs its term's smoothed precision, times how far hits of its kind
 have held in the labelled rows, times a factor for its context: a hit in quotation
@@ -49,7 +52,9 @@ FLOOR, THRESHOLD = 0.02, 0.7
 #: Words on each side that are looked at, and the factor for quoted or reported hits.
 WINDOW, QUOTED = 4, 0.6
 #: Pseudo-counts of (held, all) for kinds of hits.
-PRIOR = {"exact": (9.0, 10.0), "stem": (9.0, 10.0), "fuzzy": (9.0, 10.0)}
+PRIOR = {"exact": (9.0, 10.0), "stem": (9.0, 10.0), "fuzzy": (9.0, 10.0), "short": (2.0, 2.0), "clipped": (2.0, 2.0), "family": (2.0, 2.0), "near stem": (2.0, 2.0), "swapped": (2.0, 2.0)}
+#: Kinds of misspellings that count only where labelled rows bear them out; letters of short terms.
+TESTED, SHORT_LETTERS = ("short", "clipped", "family", "near stem", "swapped"), 4
 OPENING, CLOSING = "\"'“‘«„‹([", "\"'”’»“›)]"
 # Words that report speech or name a word.
 REPORTING = frozenset("said says called calls quote quoted quoting word words term terms wrote writes phrase named".split())
@@ -71,20 +76,25 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], held: dict[str, float], clean_words: frozenset[str] = frozenset()):
         self.terms, self.held, self.clean_words = terms, held, clean_words
         self.stems = {t[:-1]: p for t, p in terms.items() if t.endswith("-")}
+        self.covered = {t for t in terms if not t.endswith("-") and any(t[:n] in self.stems for n in STEMS if n < len(t))}
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str] = [""]
+        self.stem_ends: dict[int, float] = {}
         for term in terms:
-            if not term.endswith("-"):
-                node = 0
-                for c in term:
-                    if c not in self.children[node]:
-                        self.children[node][c] = len(self.children)
-                        self.children.append({})
-                        self.ends.append("")
-                    node = self.children[node][c]
+            node = 0
+            for c in term.rstrip("-"):
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append("")
+                node = self.children[node][c]
+            if term.endswith("-"):
+                self.stem_ends[node] = terms[term]
+            else:
                 self.ends[node] = term
         self.moves: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = []
+        self.begun: list[float] = []  # by state: the precision of the best stem that has been read
         self.number: dict[frozenset, int] = {}
         self.start = self._state({(0, 0)})
         self.dead = self._state(set())
@@ -107,6 +117,7 @@ class Lexicon:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
+            self.begun.append(max((self.stem_ends.get(node, 0.0) for node, _ in key), default=0.0))
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -131,17 +142,34 @@ class Lexicon:
         for n in STEMS:
             if (precision := self.stems.get(word[:n])) is not None and len(word) > n:
                 return "stem", precision * self.held["stem"]
-        if len(word) < FUZZY_LETTERS or word in self.clean_words:
+        if len(word) < SHORT_LETTERS - 1 or word in self.clean_words:
             return None
-        state, moves, dead = self.start, self.moves, self.dead
-        for c in word:
+        state, moves, dead, begun = self.start, self.moves, self.dead, 0.0
+        for i, c in enumerate(word, 1):
             state = moves[state, c] if (state, c) in moves else self._move(state, c)
             if state == dead:
-                return None
-        near = [self.ends[node] for node, errors in self.states[state] if self.ends[node] and len(self.ends[node]) >= FUZZY_LETTERS]
-        if not near:
+                break
+            if i < len(word):
+                begun = max(begun, self.begun[state])
+        near = [self.ends[node] for node, errors in self.states[state] if self.ends[node]]
+        found = max((self.terms[t] for t in near if len(t) >= FUZZY_LETTERS and t not in self.covered), default=0.0)
+        if found and len(word) >= FUZZY_LETTERS:
+            return "fuzzy", found * self.held["fuzzy"]
+        short = max((self.terms[t] for t in near if len(t) == SHORT_LETTERS), default=0.0)
+        kinds = (("short" if len(word) >= SHORT_LETTERS else "clipped", short), ("near stem", begun), ("family", max((self.terms[t] for t in near if t in self.covered), default=0.0)))
+        return max(((kind, p * self.held[kind]) for kind, p in kinds if p * self.held[kind] > 0), key=lambda x: x[1], default=None)
+
+    def swapped(self, word: str) -> tuple[str, float] | None:
+        """(kind, weight) of a core word that is a term, or begins with a stem, once two neighbouring letters are swapped."""
+        if len(word) < SHORT_LETTERS or word in self.clean_words:
             return None
-        return "fuzzy", max(self.terms[t] for t in near) * self.held["fuzzy"]
+        found = 0.0
+        for i in range(len(word) - 1):
+            if word[i] != word[i + 1]:
+                other = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+                found = max(found, self.terms.get(other, 0.0), *(self.stems.get(other[:n], 0.0) for n in STEMS if len(other) > n > i))
+        weight = found * self.held["swapped"]
+        return ("swapped", weight) if weight > 0 else None
 
 
 def quoted(words: list[str], at: int) -> bool:
@@ -168,7 +196,7 @@ class Scorer:
     def hit(self, word: str) -> tuple[str, float] | None:
         got = self.known.get(word)
         if got is None:
-            got = self.lexicon.look_up(core(word)) or ()
+            got = max(filter(None, (self.lexicon.look_up(core(word)), self.lexicon.swapped(core(word)))), key=lambda x: (x[0] in ("exact", "stem"), x[1]), default=())
             self.known.put(word, got)
         return got or None
 
@@ -279,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def most_specific(terms: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
-    """Terms without the stems that one longer term explains, and without terms that a kept stem covers."""
+    """Terms without the stems that one longer term explains, and without stems that a shorter one covers; words stay, for their misspellings."""
     best: dict[str, int] = {}
     for t, (a, _) in terms.items():
         for n in STEMS:
@@ -287,7 +315,7 @@ def most_specific(terms: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int
                 stem = t[:n] + "-"
                 best[stem] = max(best.get(stem, 0), a)
     left = {t: c for t, c in terms.items() if not (t.endswith("-") and best.get(t, 0) >= EXPLAINED * c[0])}
-    return {t: c for t, c in left.items() if not any(t[:n] + "-" in left for n in STEMS if n < len(t.rstrip("-")))}
+    return {t: c for t, c in left.items() if not t.endswith("-") or not any(t[:n] + "-" in left for n in STEMS if n < len(t) - 1)}
 
 
 def reliability(rows: DataFrame, terms: dict[str, float]) -> tuple[dict[str, float], frozenset[str]]:
@@ -300,23 +328,29 @@ def reliability(rows: DataFrame, terms: dict[str, float]) -> tuple[dict[str, flo
             toxic = column_of(batch, "toxic").to_pylist()
             counts = Counter()
             for i, line, hits in scorer.hits(column_of(batch, "text")):
-                kinds = {kind for _, kind, _ in hits}
+                kinds = {kind for _, kind, _ in hits if kind not in TESTED}
                 if len(kinds) == 1:
                     counts[next(iter(kinds)), "", toxic[i]] += 1
-                if not toxic[i]:
-                    counts.update({("near", core(line.slice(at, at + 1)[0]), False) for at, kind, _ in hits if kind == "fuzzy"})
+                counts.update({("near " + kind, core(line.slice(at, at + 1)[0]), toxic[i]) for at, kind, _ in hits if kind == "fuzzy" or kind in TESTED})
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "word", "toxic", "n"])
 
     found = rows.mapInArrow(run, "kind string, word string, toxic boolean, n long").groupBy("kind", "word", "toxic").agg(F.sum("n").alias("n"))
-    held, near = {k: list(v) for k, v in PRIOR.items()}, []
-    for kind, word, toxic, n in found.orderBy(F.desc("n")).limit(4 * MOST_TERMS).collect():
-        if kind == "near":
-            near.append(word)
-        elif kind != "fuzzy" or toxic:  # near-spellings of clean documents are set apart by name
+    found = written(found, "held")
+    held = {k: list(v) for k, v in PRIOR.items()}
+    for kind, toxic, n in found.filter("word = ''").select("kind", "toxic", "n").collect():
+        if kind not in TESTED and (kind != "fuzzy" or toxic):  # near-spellings of clean documents are set apart by name
             held[kind][0] += n if toxic else 0
             held[kind][1] += n
-    return {k: (a - 0.5) / b for k, (a, b) in held.items()}, frozenset(near)
+    spelled = found.filter("word <> ''").groupBy("kind", "word").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("clean"))
+    # a word of one clean document alone would not be set apart there by the others: it counts against its kind
+    for kind, good, wrong in spelled.groupBy("kind").agg(F.sum(F.when(F.col("clean") == 0, F.col("bad")).otherwise(0)), F.sum((F.col("clean") == 1).cast("int"))).collect():
+        if (kind := kind.removeprefix("near ")) in TESTED:
+            held[kind][0] += good
+            held[kind][1] += good + wrong
+    near = [r.word for r in spelled.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(4 * MOST_TERMS).collect()]
+    shares = {k: (a - 0.5) / b for k, (a, b) in held.items()}
+    return {k: 0.0 if k in TESTED and x < THRESHOLD else x for k, x in shares.items()}, frozenset(near)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

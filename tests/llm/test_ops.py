@@ -358,6 +358,15 @@ def test_automata_are_edit_distance():
         assert lexicon.look_up(word) == want, word
 
 
+def test_misspellings_of_stems_short_terms_and_swaps():
+    lexicon = toxicity.Lexicon({"grompel": 0.9, "snark-": 0.8, "scum": 0.9}, dict.fromkeys(toxicity.PRIOR, 1.0), frozenset(["scam"]))
+    scorer = toxicity.Scorer(lexicon)
+    want = {"snarkish": ("stem", 0.8), "snorkish": ("near stem", 0.8), "snrkish": ("near stem", 0.8), "sanrkish": ("swapped", 0.8), "scun": ("short", 0.9), "scumm": ("short", 0.9), "scm": ("clipped", 0.9), "sucm": ("swapped", 0.9), "gropmel": ("swapped", 0.9), "scam": None, "sorkish": None, "snar": None}
+    assert {w: scorer.hit(w) for w in want} == want
+    terms = {"snark-": (20, 0), "snarkish": (9, 0), "snarky-": (4, 0)}
+    assert set(toxicity.most_specific(terms)) == {"snark-", "snarkish"}
+
+
 def test_copies_make_no_terms(spark):
     copies = [(i, prose(40, 77)) for i in range(60)]
     clean = [(100 + i, prose(40, 500 + i)) for i in range(200)]
