@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (a temporary one where it is unset and Spark is local, as in tests)."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not hasattr(shared_folder, "own"):
+            shared_folder.own = tempfile.mkdtemp(prefix="pairloom-checkpoint-")
+        shared = shared_folder.own
+    return shared.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one where it is unset, as in tests)."""
+    """df written to the shared folder: lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

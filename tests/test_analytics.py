@@ -31,6 +31,36 @@ def test_batch_facts(spark):
     assert one.duration == 0 and one.tokens_per_second == float("inf")
 
 
+def test_blocks_change_nothing(spark):
+    """Runs longer than a block, one of them holding most rows, give what plain loops do."""
+    rows = [("long", START + dt.timedelta(seconds=(i * 37) % 11 + i * 13), i, 10 * i % 70, float(i * i % 17)) for i in range(150)] + [(None, START + dt.timedelta(seconds=40 * i), i, 5, float(i)) for i in range(30)]
+    table = spark.createDataFrame(rows, "run string, ts timestamp_ntz, id int, size int, value double")
+    keys = ("run", "ts", "id")
+    for run in ("long", None):
+        own = sorted((r for r in rows if r[0] == run), key=lambda r: (r[1], r[2]))
+        of_run = lambda df: {r.id: r for r in df.collect() if r.run == run}
+        rates, gaps, batches = (of_run(x) for x in (rollout.completion_rate(table, *keys, size=7, block=16), rollout.inter_arrival(table, *keys, block=16), rollout.gap_sessions(table, *keys, gap=14, block=16)))
+        medians, means, thirds = (of_run(x) for x in (rollout.rolling_median(table, *keys, "value", 9, block=16), rollout.moving_average(table, *keys, "value", 5, block=16), rollout.rolling_median(table, *keys, "value", 20, part=3, block=32)))
+        batch = 0
+        for i, r in enumerate(own):
+            back = own[max(0, i - 9) : i + 1]
+            values = sorted(x[4] for x in back)
+            assert medians[r[2]].rolling_median == (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+            win = min(20, len(own) // 3)
+            values = sorted(x[4] for x in own[max(0, i - win) : i + 1])
+            assert thirds[r[2]].rolling_median == (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+            if i:
+                passed = (r[1] - own[i - 1][1]).total_seconds()
+                batch += passed > 14
+                assert gaps[r[2]].delta_seconds == passed
+            assert (batches[r[2]].batch, gaps[r[2]].completed, gaps[r[2]].elapsed_minutes) == (batch, i + 1, (r[1] - own[0][1]).total_seconds() / 60)
+            assert (r[2] in means) == (i >= 4) and (r[2] in rates) == (i >= 7)
+            if i >= 4:
+                assert means[r[2]].moving_average == pytest.approx(sum(x[4] for x in own[i - 4 : i + 1]) / 5)
+            if i >= 7:
+                assert rates[r[2]].rate == pytest.approx(7 / ((r[1] - own[i - 7][1]).total_seconds() / 60))
+
+
 def test_rates_and_trends(spark):
     rates = rollout.completion_rate(log(spark, list(range(30))), "run", "ts", "id", size=20).collect()
     assert len(rates) == 10 and rates[0].rate == pytest.approx(60.0)
