@@ -21,6 +21,8 @@ def normal_lines(code: str) -> list[str]:
 def measured(a: str, b: str) -> tuple[int, int, float]:
     """(lines added, lines removed, character similarity) from a to b, both normalised."""
     left, right = normal_lines(a), normal_lines(b)
+    if left == right:
+        return 0, 0, 1.0
     body = list(unified_diff(left, right, lineterm=""))[2:]  # after the two file headers
     signs = Counter(line[:1] for line in body if not line.startswith(("+++", "---")))
     return signs["+"], signs["-"], SequenceMatcher(None, "\n".join(left), "\n".join(right)).ratio()
@@ -79,7 +81,7 @@ def repaired(changes: list[dict], code: str, fallback) -> tuple[list[dict], str]
 
 @F.pandas_udf(kind("double"))
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(kind("struct<added:int,removed:int,similarity:double>"))

@@ -158,9 +158,14 @@ def deduplicate(pairs: DataFrame, ordinal: str = "ordinal", carry_swap: bool = F
         kept, _ = resolve(rows, carry_swap)
         return pd.DataFrame(kept, columns=group.columns)
 
-    content = [c for c in pairs.columns if c != ordinal]
-    once = pairs.groupBy(*content).agg(F.min(ordinal).alias(ordinal)).select(*pairs.columns)
-    return once.groupBy(F.lower("commit_id"), "func_name").applyInPandas(run, schema)
+    return without_repeats(pairs, ordinal).groupBy(F.lower("commit_id"), "func_name").applyInPandas(run, schema)
+
+
+def without_repeats(pairs: DataFrame, ordinal: str) -> DataFrame:
+    """Of rows that are equal in all but their place, the first; rows are known by a digest of their content."""
+    content = F.sha2(F.to_json(F.struct(*(c for c in pairs.columns if c != ordinal)), {"ignoreNullFields": "false"}), 256)
+    first = F.min_by(F.struct(*pairs.columns), F.col(ordinal)).alias("_first")
+    return pairs.groupBy(content.alias("_content")).agg(first).select("_first.*")
 
 
 def deduplication_statistics(pairs: DataFrame, ordinal: str = "ordinal", carry_swap: bool = False) -> DataFrame:
@@ -170,7 +175,7 @@ def deduplication_statistics(pairs: DataFrame, ordinal: str = "ordinal", carry_s
         _, counts = resolve(group.sort_values(ordinal, kind="stable").to_dict("records"), carry_swap)
         return pd.DataFrame({"statistic": list(counts), "n": list(counts.values())})
 
-    return pairs.groupBy(F.lower("commit_id"), "func_name").applyInPandas(run, "statistic string, n long").groupBy("statistic").agg(F.sum("n").alias("n"))
+    return without_repeats(pairs, ordinal).groupBy(F.lower("commit_id"), "func_name").applyInPandas(run, "statistic string, n long").groupBy("statistic").agg(F.sum("n").alias("n"))
 
 
 def best_by_hash(rows: DataFrame, key: list[str], source: str, order: tuple[str, ...], ordinal: str) -> DataFrame:

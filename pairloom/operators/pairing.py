@@ -17,8 +17,16 @@ def greedy_matches(old: list[str], new: list[str]) -> list[tuple[int, int]]:
     """Each old text in turn takes the most similar new text that is left, the first among equals."""
     left, found = dict(enumerate(new)), []
     for i, text in enumerate(old):
-        if left:
-            best = max(left, key=lambda j: (SequenceMatcher(None, text, left[j]).ratio(), -j))
+        best, highest = None, -1.0
+        for j, other in left.items():
+            if text == other:
+                best = j  # nothing is more similar, and earlier ones that are equal were taken first
+                break
+            # both bounds are never under the ratio, and cost less
+            matcher = SequenceMatcher(None, text, other)
+            if matcher.real_quick_ratio() > highest and matcher.quick_ratio() > highest and (ratio := matcher.ratio()) > highest:
+                best, highest = j, ratio
+        if best is not None:
             del left[best]
             found.append((i, best))
     return found
