@@ -61,9 +61,17 @@ def sft_rows(teacher: DataFrame, pairs: DataFrame | None = None, most: int | Non
 
 
 def rl_rows(
-    samples: DataFrame, pairs: DataFrame | None = None, score_patched: bool = False, most_lines: int | None = None, percentile: float | None = None, multiplier: float = 1.0, ratio: float = 0.05
+    samples: DataFrame, pairs: DataFrame | None = None, score_patched: bool = False, most_lines: int | None = None, percentile: float | None = None, multiplier: float = 1.0, ratio: float = 0.05,
+    validation: DataFrame | None = None,
 ) -> DataFrame:
-    """RL rows with is_validation. Truth of patched rows is empty unless it is to be scored; lists over the cap are emptied."""
+    """RL rows with is_validation. Truth of patched rows is empty unless it is to be scored; lists over the cap are emptied.
+
+    With `validation`, samples of a split that is given, all of `samples` are for training; the cap leaves validation alone.
+    """
+    if validation is not None:
+        how = {"pairs": pairs, "score_patched": score_patched}
+        train = rl_rows(samples, most_lines=most_lines, percentile=percentile, multiplier=multiplier, ratio=0.0, **how)
+        return train.unionByName(rl_rows(validation, ratio=0.0, **how).withColumn("is_validation", F.lit(True)))
     if most_lines is not None and percentile is not None:
         raise ValueError("a cap is either given or taken from a percentile")
     label = F.coalesce("is_vulnerable", F.lit(True))
