@@ -13,7 +13,7 @@ from ..functions import responses as R
 from ..functions import reward as W
 from ..functions import text as X
 from ..functions.diff import changed_lines, normalized_diff, similarity
-from ..functions.prompts import eval_requests, requests, training_prompt
+from ..functions.prompts import training_prompt
 from ..operators import audit, dedup, lookups, metrics, ordinals, pairing, pooling, rollout, runs, stats
 from ..schemas import A, B, C
 from ..streaming.logs import sessions
@@ -255,12 +255,6 @@ def label_explode(spark, sf_dir):
     return pairing.labelled(rows).select("doc_id", "is_vulnerable", F.length("code").cast("long").alias("size"))
 
 
-@query("SELECT *, NULL::BIGINT AS n_chars FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) UNION ALL SELECT doc_id, NULL, n_chars FROM documents WHERE doc_id % 2 = 1")
-def union_missing_cols(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.filter("doc_id % 2 = 0").select("doc_id", "lang").unionByName(d.filter("doc_id % 2 = 1").select("doc_id", "n_chars"), allowMissingColumns=True)
-
-
 # -- prompts
 
 
@@ -279,16 +273,6 @@ def chat_render(spark, sf_dir):
     return turns.select("conv_id", X.chat(F.col("m")).alias("chat"))
 
 
-@query()
-def teacher_requests(spark, sf_dir):
-    return requests(code_pairs(spark, sf_dir)).select("pair_id", "is_vulnerable", "prompt", "prompt_tokens", "api_max_tokens")
-
-
-@query()
-def evaluation_requests(spark, sf_dir):
-    return eval_requests(code_pairs(spark, sf_dir)).select("pair_id", "is_vulnerable", "prompt_type", "target", "response", F.length("prompt").alias("size"))
-
-
 # -- responses, rewards, metrics
 
 
@@ -356,10 +340,10 @@ def classification_metrics(spark, sf_dir):
     return rows.groupBy("lang").agg(*(F.round(c, 9).alias(k) for k, c in metrics.classification(F.col("quality"), 1 - F.col("toxic")).items()))
 
 
-@query("""WITH s AS (SELECT conv_id, count(*) FILTER (role = 'user') AS v, count(*) FILTER (role <> 'user') AS p, max(length(text) % 2) FILTER (role = 'user') AS pv, max(length(text) % 2) FILTER (role <> 'user') AS pp FROM conversations WHERE turn < 2 GROUP BY conv_id)
+@query("""WITH s AS (SELECT conv_id, count(*) FILTER (role = 'user') AS v, count(*) FILTER (role <> 'user') AS p, max(length(text) % 2) FILTER (role = 'user') AS pv, max(length(text) % 2) FILTER (role <> 'user') AS pp FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN pv = 1 AND pp = 0 THEN 'P-C' WHEN pv = 1 THEN 'P-V' WHEN pp = 0 THEN 'P-B' ELSE 'P-R' END AS outcome FROM s WHERE v = 1 AND p = 1""")
 def pairwise_outcomes(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", (F.col("role") == "user").alias("is_vulnerable"), (F.length("text") % 2).alias("predicted"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("role") == "user").alias("is_vulnerable"), (F.length("text") % 2).alias("predicted"))
     return metrics.pair_outcomes(rows, [], "conv_id", "is_vulnerable", "predicted")
 
 
@@ -372,13 +356,6 @@ def line_localization(spark, sf_dir):
     return scored.agg(F.count("s").alias("n"), *(F.round(F.avg(f"s.{k}"), 9).alias(k) for k in ("precision", "recall", "f1")))
 
 
-@query()
-def metrics_documents(spark, sf_dir):
-    rows = answers(spark, sf_dir).withColumn("ground_truth_lines", F.transform("truth", lambda n: F.struct(n.alias("line_no"), F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"), F.lit("x").alias("text"))))
-    rows = rows.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2)).alias("pair_id"), F.lit("c").alias("commit_id"), F.when(F.col("doc_id") % 3 == 0, "primevul_test").otherwise("sven_val").alias("split"), "is_vulnerable", F.col("is_vulnerable").cast("int").alias("target"), F.when(F.col("doc_id") % 4 < 2, "training").otherwise("std_cls").alias("prompt_type"), "response", "ground_truth_lines")
-    return metrics.reports(rows)
-
-
 # -- counts and caps
 
 ORDER_LINES = "SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey"
@@ -577,11 +554,6 @@ def line_verify(spark, sf_dir):
     return audit.line_issues(code_pairs(spark, sf_dir)).filter("field = 'deleted_lines'").select("pair_id", "field", F.col("line_no").cast("long").alias("line_no"), "type")
 
 
-@query()
-def pair_audit(spark, sf_dir):
-    return audit.pair_report(code_pairs(spark, sf_dir))
-
-
 @query(f"""WITH {PARSED_SQL} SELECT CASE WHEN k = 0 THEN 'no_response' WHEN k IN (1, 2, 3) OR classification IS NULL THEN 'incomplete' END AS reason, count(*) AS n FROM r GROUP BY ALL""")
 def sft_filter_reasons(spark, sf_dir):
     rows = answers(spark, sf_dir).withColumn("p", R.parse(F.col("response"))).select(F.col("response").alias("generated_response"), F.col("p.classification").alias("parsed_classification"))
