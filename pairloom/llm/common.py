@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Text is cut into chunks of about so many bytes before vectorised work, which bounds a Python worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+#: Rows of a few numbers each that are broadcast, at most.
+MOST_BROADCAST = 2_000_000
 
 #: A word, as all word-based operators take it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for intermediates: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The cluster's folder for intermediates: spark.checkpoint.dir, or a local one where it is unset and Spark is local (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="pairloom-")
     return shared_dir.own
@@ -51,11 +60,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_doc, _key): each row as a struct, and a number of it that is the same whenever it is read again.
+
+    Rows of a Parquet table are numbered by file and place in it; any other rows are written first.
+    """
+    if not _has_places(docs):
+        docs = written(docs, "rows")
+    about = docs.metadataColumn("_metadata")
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), about["file_path"].alias("_file"), about["row_index"].alias("_at"))
+    # one row for each file, which the driver lists anyway
+    files = written(rows.select("_file").distinct().withColumn("_n", F.row_number().over(Window.orderBy("_file")).cast("long")), "files")
+    return rows.join(F.broadcast(files), "_file").select("_doc", F.shiftleft("_n", 32).bitwiseOR(F.col("_at")).alias("_key"))
+
+
+def _has_places(docs: DataFrame) -> bool:
+    """Whether rows are those of a table's files, each once, and the files tell their places."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        return bool(docs.select(docs.metadataColumn("_metadata")["row_index"]).schema)
+    except AnalysisException:
+        return False
+
+
+def picked(keys: DataFrame) -> tuple[bool, DataFrame]:
+    """(whether it is small, the side of a join): thin rows of a written table are broadcast if they are MOST_BROADCAST at most, and else merged."""
+    small = keys.count() <= MOST_BROADCAST
+    return small, F.broadcast(keys) if small else keys.hint("merge")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
+def plain_texts(texts: pa.Array) -> pa.Array:
+    """Texts with nulls as empty ones, in one array."""
+    return (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).fill_null("")
+
+
+def chunks(batches, column: str | int = "text", limit: int = CHUNK_BYTES):
     """Arrow batches cut by rows so that each holds about `limit` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -68,6 +112,15 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Gives memory that a worker no longer uses back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -119,6 +172,65 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _fitted(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with `more` after its first `used` items, in a longer array where there is no room."""
+    while used + len(more) > len(held):
+        held = np.concatenate([held, held * 0])
+    held[used : used + len(more)] = more
+    return held
+
+
+class Runs:
+    """Runs of ids: place of a word, start and size of the run at a place."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.data = np.zeros(8192, np.uint32)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word, -1 if it has none."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def extend(self, words: list[str], data: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds new words with their ids one after the other."""
+        k = len(self.place)
+        self.start = _fitted(self.start, k, self.used + np.cumsum(sizes) - sizes)
+        self.size = _fitted(self.size, k, sizes)
+        self.data = _fitted(self.data, self.used, data)
+        self.used += len(data)
+        self.place.update(zip(words, range(k, k + len(words)), strict=True))
+
+
+class RunCache:
+    """Ids of words in two generations of at most about `most` words: what was used since the younger one began survives its end."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, Runs(), Runs()
+
+    def runs_of(self, words: list[str], encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each word's run in them, its size); encode gives the ids of a list of new words."""
+        if len(self.young.place) > self.most or self.young.used > 16 * self.most:
+            self.young, self.old = Runs(), self.young
+        young, old = self.young, self.old
+        place = young.places(words)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            asked = list(dict.fromkeys([words[i] for i in missing.tolist()]))
+            before = old.places(asked)
+            known = np.flatnonzero(before >= 0)
+            if len(known):
+                starts, sizes = old.start[before[known]], old.size[before[known]]
+                young.extend([asked[i] for i in known.tolist()], old.data[gather(starts, sizes)], sizes)
+            if len(known) < len(asked):
+                new = [asked[i] for i in np.flatnonzero(before < 0).tolist()]
+                runs = encode(new)
+                sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+                young.extend(new, np.fromiter(chain.from_iterable(runs), np.uint32, int(sizes.sum())), sizes)
+            place[missing] = young.places([words[i] for i in missing.tolist()])
+        return young.data, young.start[place], young.size[place]
+
+
 def tokenizer_path(name: str) -> str:
     """Default place of a public vocabulary file; every operator takes another path as a parameter."""
     import public_tokenizers
