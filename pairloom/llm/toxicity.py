@@ -20,7 +20,8 @@ A score depends on the text and on what was learnt, never on labels, lang,
 source or the id of the scored row. At most FIT_ROWS labelled rows are used for
 fitting, those with the least hash of their id; everything else covers all rows.
 
-Defined cases: a null or empty text has the least score, FLOOR; labels that are
+Defined cases: a null or empty text has the least score, FLOOR; equally good
+hits of a word go to the kind listed first; labels that are
 null aren't learnt from, and of several labels for one id the largest holds;
 without any label, or without any toxic one, every score is FLOOR; repeated rows
 are scored each; extra columns are not looked at; an empty table gives an empty
@@ -38,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, chunks, column_of, text_or_empty, words_of, written
+from .common import Kept, chunks, column_of, plain_texts, text_or_empty, words_of, written
 
-#: Labelled rows to fit on, at most; terms to keep, at most (the lexicon is broadcast, so it is bounded).
-FIT_ROWS, MOST_TERMS = 20_000, 5_000
+#: Labelled rows to fit on, at most: what comes to the driver and is broadcast are words of these rows.
+FIT_ROWS = 20_000
+#: States and moves of the automata that a worker holds before it makes them anew.
+MOST_STATES, MOST_MOVES = 50_000, 500_000
 #: A term's least odds of toxic against clean, least toxic documents and contexts; stems by length.
 LEAST_RATIO, LEAST_DOCUMENTS, LEAST_CONTEXTS, STEMS = 20.0, 3, 3, (4, 5, 6)
 #: Terms that chance alone may bring in, and the share of a stem's documents from which one longer term stands for it.
@@ -62,7 +65,12 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def core(word: str) -> str:
-    return _NOT_LETTERS.sub("", word).lower()
+    return word.lower() if word.isalpha() else _NOT_LETTERS.sub("", word).lower()
+
+
+def swaps(word: str) -> set[str]:
+    """What a word becomes if two neighbouring letters are swapped."""
+    return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1) if word[i] != word[i + 1]}
 
 
 def terms_of(word: str) -> list[str]:
@@ -92,6 +100,16 @@ class Lexicon:
                 self.stem_ends[node] = terms[term]
             else:
                 self.ends[node] = term
+        self.swapped_terms: dict[str, float] = {}
+        self.swapped_stems: dict[str, float] = {}
+        for term, p in terms.items():
+            into = self.swapped_stems if term.endswith("-") else self.swapped_terms
+            for other in swaps(term.rstrip("-")):
+                into[other] = max(into.get(other, 0.0), p)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins with no states: they are made when first needed."""
         self.moves: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = []
         self.begun: list[float] = []  # by state: the precision of the best stem that has been read
@@ -129,9 +147,7 @@ class Lexicon:
             if errors < ERRORS:
                 reached.add((node, errors + 1))  # a letter too many
                 reached.update((other, errors + 1) for other in self.children[node].values())  # another letter
-        got = self._state(reached)
-        if len(self.moves) < 1_000_000:
-            self.moves[state, c] = got
+        got = self.moves[state, c] = self._state(reached)
         return got
 
     def look_up(self, word: str) -> tuple[str, float] | None:
@@ -144,13 +160,17 @@ class Lexicon:
                 return "stem", precision * self.held["stem"]
         if len(word) < SHORT_LETTERS - 1 or word in self.clean_words:
             return None
+        if len(self.states) > MOST_STATES or len(self.moves) > MOST_MOVES:
+            self.forget()
         state, moves, dead, begun = self.start, self.moves, self.dead, 0.0
         for i, c in enumerate(word, 1):
             state = moves[state, c] if (state, c) in moves else self._move(state, c)
             if state == dead:
                 break
-            if i < len(word):
-                begun = max(begun, self.begun[state])
+            if self.begun[state] > begun and i < len(word):
+                begun = self.begun[state]
+        if state == dead and not begun:
+            return None
         near = [self.ends[node] for node, errors in self.states[state] if self.ends[node]]
         found = max((self.terms[t] for t in near if len(t) >= FUZZY_LETTERS and t not in self.covered), default=0.0)
         if found and len(word) >= FUZZY_LETTERS:
@@ -161,13 +181,15 @@ class Lexicon:
 
     def swapped(self, word: str) -> tuple[str, float] | None:
         """(kind, weight) of a core word that is a term, or begins with a stem, once two neighbouring letters are swapped."""
-        if len(word) < SHORT_LETTERS or word in self.clean_words:
+        if len(word) < SHORT_LETTERS or word in self.clean_words or not self.held["swapped"]:
             return None
-        found = 0.0
-        for i in range(len(word) - 1):
-            if word[i] != word[i + 1]:
-                other = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-                found = max(found, self.terms.get(other, 0.0), *(self.stems.get(other[:n], 0.0) for n in STEMS if len(other) > n > i))
+        found = self.swapped_terms.get(word, 0.0)
+        if self.stems:
+            for n in STEMS:
+                if len(word) > n:
+                    found = max(found, self.swapped_stems.get(word[:n], 0.0))
+                    if word[n - 1] != word[n]:  # the stem's last letter and the one after it
+                        found = max(found, self.stems.get(word[: n - 1] + word[n], 0.0))
         weight = found * self.held["swapped"]
         return ("swapped", weight) if weight > 0 else None
 
@@ -191,12 +213,15 @@ class Scorer:
     """Scores whole texts; what it learns of words is kept in a bounded cache."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.known = lexicon, Kept(200_000)
+        self.lexicon, self.known = lexicon, Kept(100_000)
 
     def hit(self, word: str) -> tuple[str, float] | None:
         got = self.known.get(word)
         if got is None:
-            got = max(filter(None, (self.lexicon.look_up(core(word)), self.lexicon.swapped(core(word)))), key=lambda x: (x[0] in ("exact", "stem"), x[1]), default=())
+            letters = core(word)
+            plain, other = self.lexicon.look_up(letters), self.lexicon.swapped(letters)
+            got = plain if other is None or (plain and (plain[0] in ("exact", "stem") or plain[1] >= other[1])) else other
+            got = got or ()
             self.known.put(word, got)
         return got or None
 
@@ -283,7 +308,7 @@ def count_contexts(rows: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learnable=lambda label_id: F.lit(True)) -> Lexicon:
-    """The lexicon of labelled documents. Only counts of at most MOST_TERMS terms come to the driver."""
+    """The lexicon of labelled documents. Only counts of terms that are evident among FIT_ROWS documents at most come to the driver."""
     rows = written(sample(docs, labels, id_col, text_col, learnable), "labelled")
     total = {bool(t): n for t, n in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
@@ -298,11 +323,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     log = lambda x, y: F.when(x > 0, x * F.ln(x / both / y)).otherwise(0.0)
     evidence = log(F.col("n_toxic"), base) + log(F.col("n_clean"), max(1 - base, 1e-9))
     strong = counted.filter((F.col("n_toxic") >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO) & (evidence >= math.log(max(candidates, 1) / CHANCE)))
-    terms = {t: (a, b) for t, a, b in strong.orderBy(F.desc("n_toxic"), F.asc("n_clean"), "term").limit(4 * MOST_TERMS).collect()}
+    terms = {t: (a, b) for t, a, b in strong.select("term", "n_toxic", "n_clean").collect()}
     contexts = {t: n for t, n in count_contexts(rows, list(terms)).collect()}
     terms = {t: c for t, c in terms.items() if contexts.get(t, 0) >= max(LEAST_CONTEXTS, c[0] / 2)}
     kept = {t: (a + 0.5) / (a + b + 1.0) for t, (a, b) in most_specific(terms).items()}
-    kept = dict(sorted(kept.items(), key=lambda x: (-terms[x[0]][0], x[0]))[:MOST_TERMS])
+    kept = dict(sorted(kept.items()))
     return Lexicon(kept, *reliability(rows, kept))
 
 
@@ -348,14 +373,14 @@ def reliability(rows: DataFrame, terms: dict[str, float]) -> tuple[dict[str, flo
         if (kind := kind.removeprefix("near ")) in TESTED:
             held[kind][0] += good
             held[kind][1] += good + wrong
-    near = [r.word for r in spelled.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(4 * MOST_TERMS).collect()]
+    near = [r.word for r in spelled.filter("clean > 0").select("word").collect()]
     shares = {k: (a - 0.5) / b for k, (a, b) in held.items()}
     return {k: 0.0 if k in TESTED and x < THRESHOLD else x for k, x in shares.items()}, frozenset(near)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon.plain())  # MOST_TERMS terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon.plain())  # words of FIT_ROWS documents at most
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -375,9 +400,8 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
     def run(batches):
         scorer = Scorer(Lexicon(*sent.value))
         for whole in batches:
-            for batch in chunks([pa.RecordBatch.from_arrays([*whole.columns, whole.column(at).fill_null("")], [*whole.schema.names, "text of the row"])], "text of the row"):
-                clean = pa.array(scorer.scores(column_of(batch, "text of the row")) < threshold)
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], whole.schema.names).filter(clean)
+            for batch in chunks([whole], at):
+                yield batch.filter(pa.array(scorer.scores(plain_texts(batch.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
