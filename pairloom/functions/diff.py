@@ -18,14 +18,25 @@ def normal_lines(code: str) -> list[str]:
     return "\n".join(x for x in (line.strip() for line in code.splitlines()) if x).lower().splitlines()
 
 
-def measured(a: str, b: str) -> tuple[int, int, float]:
-    """(lines added, lines removed, character similarity) from a to b, both normalised."""
-    left, right = normal_lines(a), normal_lines(b)
+def lines_changed(left: list[str], right: list[str]) -> tuple[int, int]:
+    """(lines added, lines removed) from one list of lines to another."""
     if left == right:
-        return 0, 0, 1.0
+        return 0, 0
     body = list(unified_diff(left, right, lineterm=""))[2:]  # after the two file headers
     signs = Counter(line[:1] for line in body if not line.startswith(("+++", "---")))
-    return signs["+"], signs["-"], SequenceMatcher(None, "\n".join(left), "\n".join(right)).ratio()
+    return signs["+"], signs["-"]
+
+
+def measured(a: str, b: str) -> tuple[int, int, float]:
+    """(lines added, lines removed, character similarity) from a to b, both normalised."""
+    left, right = normal_lines(a), normal_lines(b)
+    return *lines_changed(left, right), 1.0 if left == right else SequenceMatcher(None, "\n".join(left), "\n".join(right)).ratio()
+
+
+def more_similar(left: list[str], right: list[str], bound: float) -> bool:
+    """Whether the character similarity of normalised lines is over a bound; what is never under it and costs less is asked first."""
+    matcher = SequenceMatcher(None, "\n".join(left), "\n".join(right))
+    return matcher.real_quick_ratio() > bound and matcher.quick_ratio() > bound and matcher.ratio() > bound
 
 
 def line_changes(before: str, after: str) -> tuple[list[dict], list[dict]]:

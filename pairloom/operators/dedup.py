@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.diff import measured
+from ..functions.diff import lines_changed, more_similar, normal_lines
 from ..schemas import A, B, C
 
 #: Sources by whose row stays.
@@ -73,8 +73,9 @@ def collapsed(short: dict, long: dict) -> dict | None:
     """The winner of two variants of one function, or None if both stay."""
     if different_files(short, long):
         return None
-    added, removed, similarity = measured(short["vuln_func"], long["vuln_func"])
-    if removed and similarity <= SIMILAR and added / removed < GROWN:
+    left, right = normal_lines(short["vuln_func"]), normal_lines(long["vuln_func"])
+    added, removed = lines_changed(left, right)
+    if removed and added / removed < GROWN and not more_similar(left, right, SIMILAR):
         return None
     if not removed or added > removed:
         return fill(long, short)
