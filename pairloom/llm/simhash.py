@@ -27,10 +27,10 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, gather, text_or_empty, written
+from .common import chunks, column_of, gather, numbered, picked, text_or_empty, written
 from .components import components
 
 BITS, SEED = 64, 42
@@ -243,8 +243,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 #: Texts that frequent shingles are looked for in, about; texts among them that make one frequent; such shingles, at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4_000, 4, 50_000
-#: Pairs that a task makes at a time, about.
-PAIRS = 1 << 20
+#: Pairs that a task makes at a time, about; parts of the shingles for each partition; shingles of a row of whole buckets, about.
+PAIRS, PARTS, ROW = 1 << 20, 8, 1 << 16
+#: Texts that are compared with one copy of another's.
+SPOKES = 256
+ENTRY = {"shingle": np.int64, "key": np.int64, "size": np.int32, "place": np.int32}
+ENTRIES = "shingle array<long>, key array<long>, size array<int>, place array<int>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -278,14 +282,18 @@ def prefix_of(own: np.ndarray, by_hash: np.ndarray, place: np.ndarray, share: Fr
     return np.concatenate([own[~late], own[late][np.argsort(place[at[late]])]])[:n] if late.any() else own[:n]
 
 
-def needed(a: Column, b: Column, share: Fraction) -> Column:
-    """Shingles of the prefixes that two sets of sizes a and b at least have in common if they are alike: all they must share, less what one suffix holds."""
-    both = F.ceil((a + b) * share.numerator / F.lit(share.numerator + share.denominator) - F.lit(1e-9))
-    return both - F.ceil(F.greatest(a, b) * share.numerator / F.lit(share.denominator) - F.lit(1e-9)) + 1
+def least_common(a: np.ndarray, b: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that alike sets of sizes a and b have in common, those of them in both prefixes), at least: what one suffix can hold is less."""
+    up, down = share.numerator, share.denominator
+    both = -(-up * (a + b) // (up + down))
+    return both, both - -(-up * np.maximum(a, b) // down) + 1
 
 
-def near_sizes(a: Column, b: Column, share: Fraction) -> Column:
-    return F.least(a, b) * share.denominator >= F.greatest(a, b) * share.numerator
+def may_be_alike(size_a, place_a, size_b, place_b, share: Fraction) -> np.ndarray:
+    """Whether sets that share the shingle at these places of their order can be alike: by their sizes, and by what can be common before and after."""
+    both, _ = least_common(size_a, size_b, share)
+    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    return (np.minimum(size_a, size_b) * share.denominator >= np.maximum(size_a, size_b) * share.numerator) & (most >= both)
 
 
 def partitions(df: DataFrame) -> int:
@@ -293,142 +301,238 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _lists(columns: dict[str, np.ndarray], starts: np.ndarray) -> list[pa.Array]:
+    """Each column cut at the starts into lists."""
+    ends = np.append(starts, len(columns["key"]))
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(columns[c], t))) for c, t in ENTRY.items()]
+
+
 def shared_shingles(distinct: DataFrame) -> DataFrame:
-    """(shingle, key, size, center, center_size) of prefix shingles that several sets have; center is the least key of these."""
+    """Rows of whole buckets: prefix shingles that several sets have, with the key and size of each such set and the
+    shingle's place in its order. The set in which it stands first begins the bucket: it has the fewest shingles of its own."""
+    n = PARTS * partitions(distinct)
+
+    def pack(batches):
+        for batch in batches:
+            prefix = column_of(batch, "prefix")
+            lengths = np.asarray(pa.compute.list_value_length(prefix))
+            shingle = np.asarray(prefix.flatten())
+            if not len(shingle):
+                continue
+            place = np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            part = (shingle.view(np.uint64) % np.uint64(n)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            columns = {"shingle": shingle, "key": np.repeat(np.asarray(column_of(batch, "key")), lengths), "size": np.repeat(np.asarray(column_of(batch, "size")), lengths), "place": place}
+            part = part[order]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *_lists({c: x[order] for c, x in columns.items()}, starts)], ["part", *ENTRY])
+
+    def buckets(held):
+        x = {c: np.concatenate([np.asarray(column_of(b, c).flatten()) for b in held]) for c in ENTRY}
+        order = np.lexsort((x["key"], x["place"], x["shingle"]))
+        x = {c: v[order] for c, v in x.items()}
+        begin = np.flatnonzero(np.concatenate([[True], x["shingle"][1:] != x["shingle"][:-1]]))
+        counts = np.diff(np.append(begin, len(order)))
+        many = np.repeat(counts > 1, counts)
+        if many.any():
+            x, counts = {c: v[many] for c, v in x.items()}, counts[counts > 1]
+            begin = np.cumsum(counts) - counts
+            starts = begin[np.concatenate([[True], begin[1:] // ROW != begin[:-1] // ROW])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts))), *_lists(x, starts)], ["no", *ENTRY])
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        shingle, key, size = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size"))
-        del held
-        order = np.lexsort((key, shingle))
-        shingle, key, size = shingle[order], key[order], size[order]
-        begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        counts = np.diff(np.append(begin, len(shingle)))
-        first, many = np.repeat(begin, counts), np.repeat(counts > 1, counts)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (shingle, key, size, key[first], size[first])], ["shingle", "key", "size", "center", "center_size"])
+        """Rows come sorted by part, so one part is held at a time."""
+        held, last = [], None
+        for batch in batches:
+            parts = np.asarray(column_of(batch, "part"))
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    if held and parts[lo] != last:
+                        yield from buckets(held)
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = parts[lo]
+        if held:
+            yield from buckets(held)
 
-    rows = distinct.select(F.explode("prefix").alias("shingle"), "key", "size").repartition(partitions(distinct), "shingle")
-    return rows.mapInArrow(run, "shingle long, key long, size long, center long, center_size long")
+    packed = distinct.select("key", "size", "prefix").mapInArrow(pack, f"part int, {ENTRIES}")
+    return packed.repartition(partitions(distinct), "part").sortWithinPartitions("part").mapInArrow(run, f"no long, {ENTRIES}")
 
 
-def crossing_pairs(labelled: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v) of all keys with different labels whose prefixes have as many shingles in common as alike sets need."""
+def _entries(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: np.asarray(column_of(batch, c).flatten()) for c in ENTRY}
+
+
+def _counted(u, v, a, b) -> pa.RecordBatch:
+    """(u, v, their sizes, how often they stand here)."""
+    order = np.lexsort((v, u))
+    u, v, a, b = u[order], v[order], a[order], b[order]
+    begin = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(u)))
+    return pa.RecordBatch.from_arrays([pa.array(x[begin], t) for x, t in ((u, pa.int64()), (v, pa.int64()), (a, pa.int64()), (b, pa.int64()))] + [pa.array(n, pa.int64())], ["u", "v", "a", "b", "n"])
+
+
+_PAIRS = "u long, v long, a long, b long, n long"
+
+
+def _common_enough(pairs: DataFrame, share: Fraction, times: int) -> DataFrame:
+    """(u, v) of pairs that have, of the shingles which both prefixes must have in common, all or a `times`-th."""
     up, down = share.numerator, share.denominator
+    summed = pairs.groupBy("u", "v", "a", "b").agg(F.sum("n").alias("n"))
+    both = F.expr(f"({up} * (a + b) + {up + down - 1}) div {up + down}")
+    suffix = F.expr(f"({up} * greatest(a, b) + {down - 1}) div {down}")
+    return summed.filter(times * F.col("n") >= both - suffix + 1).select("u", "v")
 
-    def cross(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        shingle, key, size, label = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size", "label"))
-        del held
-        order = np.lexsort((key, shingle))
-        shingle, key, size, label = shingle[order], key[order], size[order], label[order]
+
+def spokes(shared: DataFrame, share: Fraction) -> DataFrame:
+    """(u, v): each bucket's first set and another of it that may be alike, if they meet in half as many buckets as alike sets share."""
+
+    def run(batches):
+        for batch in batches:
+            x = _entries(batch)
+            begin = np.flatnonzero(np.concatenate([[True], x["shingle"][1:] != x["shingle"][:-1]]))
+            first = np.repeat(begin, np.diff(np.append(begin, len(x["key"]))))
+            size, place = x["size"].astype(np.int64), x["place"].astype(np.int64)
+            kept = np.flatnonzero((first != np.arange(len(first))) & may_be_alike(size, place, size[first], place[first], share))
+            yield _counted(x["key"][first[kept]], x["key"][kept], size[first[kept]], size[kept])
+
+    return _common_enough(shared.select(*ENTRY).mapInArrow(run, _PAIRS), share, 2)
+
+
+def crossing_pairs(shared: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
+    """(u, v) of all keys with different labels whose prefixes have as many shingles in common as alike sets need."""
+    keys = shared.select(F.explode("key").alias("key")).groupBy("key").agg(F.count("*").cast("int").alias("alive"))
+    known = written(keys.join(roots, F.col("key") == F.col("node"), "left").select("key", "alive", F.coalesce("root", "key").alias("label")), "labels")
+
+    def pairs_of(held):
+        shingle, key, size, place, alive, label = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size", "place", "alive", "label"))
+        size, place = size.astype(np.int64), place.astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         counts = np.diff(np.append(begin, len(shingle)))
-        rest = np.repeat(begin + counts, counts) - np.arange(len(shingle)) - 1  # keys after each in its bucket
-        upto, at = np.cumsum(rest), 0
+        mixed = np.repeat(np.maximum.reduceat(label, begin) != np.minimum.reduceat(label, begin), counts)
+        rest = np.where(mixed, np.repeat(begin + counts, counts) - np.arange(len(shingle)) - 1, 0)  # keys after each in its bucket
+        upto, at, found = np.cumsum(rest), 0, []
         while at < len(rest):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
             a = np.repeat(np.arange(at, to), rest[at:to])
             b = gather(np.arange(at, to) + 1, rest[at:to])
-            least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            kept = (label[a] != label[b]) & (least * down >= most * up)
+            kept = label[a] != label[b]
             a, b, at = a[kept], b[kept], to
-            if len(a):
-                own, starts = np.unique(a, return_index=True)
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(a)), pa.int32()), pa.array(x[b])) for x in (key, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(size[own]), *lists], ["u", "size", "others", "sizes"])
+            need = least_common(size[a], size[b], share)[1]
+            kept = (np.minimum(alive[a], alive[b]) >= need) & may_be_alike(size[a], place[a], size[b], place[b], share)
+            found.append((a[kept], b[kept]))
+            if sum(len(x) for x, _ in found) > PAIRS or at >= len(rest):
+                a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                swap = key[a] > key[b]
+                a, b, found = np.where(swap, b, a), np.where(swap, a, b), []
+                if len(a):
+                    yield _counted(key[a], key[b], size[a], size[b])
 
-    def count(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        lengths = [np.asarray(pa.compute.list_value_length(column_of(b, "others"))) for b in held]
-        u, a = (np.concatenate([np.repeat(np.asarray(column_of(b, c)), n) for b, n in zip(held, lengths, strict=True)]) for c in ("u", "size"))
-        v, b = (np.concatenate([np.asarray(column_of(x, c).flatten()) for x in held]) for c in ("others", "sizes"))
-        del held
-        order = np.lexsort((v, u))
-        u, v, a, b = u[order], v[order], a[order], b[order]
-        begin = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
-        common = np.diff(np.append(begin, len(u)))
-        u, v, a, b = u[begin], v[begin], a[begin], b[begin]
-        least = -(-up * (a + b) // (up + down)) + up * np.maximum(a, b) // -down + 1
-        kept = common >= least
-        yield pa.RecordBatch.from_arrays([pa.array(u[kept]), pa.array(v[kept])], ["u", "v"])
-
-    # a row holds all others of one key in one bucket
-    lists = labelled.repartition(partitions(labelled), "shingle").mapInArrow(cross, "u long, size long, others array<long>, sizes array<long>")
-    return lists.repartition(partitions(labelled), "u").mapInArrow(count, "u long, v long")
-
-
-def alike(pairs: DataFrame, held: DataFrame, text_col: str, width: int, share: Fraction) -> DataFrame:
-    """The pairs (u, v) of rows whose shingle sets have the similarity. Sets are made again from the texts of these rows alone."""
+    def run(batches):
+        """The entries of one row of buckets follow each other."""
+        held, last = [], None
+        for batch in batches:
+            rows = np.asarray(column_of(batch, "row"))
+            cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(rows)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    if held and rows[lo] != last:
+                        yield from pairs_of(held)
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = rows[lo]
+        if held:
+            yield from pairs_of(held)
+
+    flat = shared.select(F.monotonically_increasing_id().alias("row"), F.arrays_zip(*ENTRY).alias("all")).select("row", F.inline("all"))
+    small, side = picked(known)
+    labelled = flat.join(side, "key").select("row", *ENTRY, "alive", "label")
+    if not small:
+        labelled = labelled.repartition(partitions(shared), "row").sortWithinPartitions("row", "shingle")
+    return _common_enough(labelled.mapInArrow(run, _PAIRS), share, 1)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """The pairs (u, v) of rows (key, text) whose shingle sets have the similarity.
+
+    The text of v goes to where that of u is, once for each pair; u's goes to each SPOKES of its pairs, before them.
+    """
+    up, down = share.numerator, share.denominator
+    pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30))), "pairs")
+    counts = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(SPOKES)).cast("int").alias("salts")), "hubs")
+    spread = pairs.join(counts, "u").select(F.col("v").alias("key"), "u", F.pmod("salt", "salts").cast("int").alias("salt"), F.lit(True).alias("spoke"))
+    hubs = counts.select(F.col("u").alias("key"), "u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("spoke"))
+    asked = written(spread.union(hubs), "asked")
+    dealt = texts.join(picked(asked)[1], "key").repartition(partitions(pairs), "u", "salt").sortWithinPartitions("u", "salt", "spoke")
 
     def run(batches):
+        hub, own = None, None
         for batch in chunks(batches):
             sets = shingle_sets(column_of(batch, "text"), width)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "key"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["key", "own"])
+            key, u = (np.asarray(column_of(batch, c)) for c in ("key", "u"))
+            good = []
+            for i, spoke in enumerate(column_of(batch, "spoke").to_pylist()):
+                if not spoke:
+                    hub, own = u[i], sets[i]
+                elif hub == u[i]:
+                    common = len(np.intersect1d(own, sets[i], assume_unique=True))
+                    if common * down >= (len(own) + len(sets[i]) - common) * up:
+                        good.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(key[good])], ["u", "v"])
 
-    pairs = written(pairs, "pairs")
-    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "asked")
-    texts = held.select(F.col("_row").alias("key"), text_or_empty(text_col).alias("text")).join(asked, "key", "left_semi")
-    sets = written(texts.mapInArrow(run, "key long, own array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common * share.denominator >= (F.size("a") + F.size("b") - common) * share.numerator).select("u", "v")
+    return dealt.select("key", "u", "spoke", "text").mapInArrow(run, "u long, v long")
 
 
-def similar_links(distinct: DataFrame, held: DataFrame, text_col: str, width: int, share: Fraction) -> DataFrame:
+def similar_links(distinct: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
     """Links (u, v) between keys that span all groups of sets at the similarity, and none under it.
 
-    Each bucket's sets are compared with its least key first; then all pairs that aren't yet in one group by that.
+    Each bucket's sets are compared with its first one; then all pairs that aren't yet in one group by that.
     """
     shared = written(shared_shingles(distinct), "shared")
-    star = shared.filter((F.col("key") != F.col("center")) & near_sizes(F.col("size"), F.col("center_size"), share))
-    star = star.groupBy("center", "key", "size", "center_size").agg(F.count("*").alias("n"))
-    star = star.filter(2 * F.col("n") >= needed(F.col("size"), F.col("center_size"), share))  # the others are met below
-    first = written(alike(star.select(F.col("center").alias("u"), F.col("key").alias("v")), held, text_col, width, share), "links")
-    roots = components(first)
-    labelled = written(shared.join(roots, F.col("key") == F.col("node"), "left").select("shingle", "key", "size", F.coalesce("root", "key").alias("label")), "labelled")
-    return first.union(written(alike(crossing_pairs(labelled, share), held, text_col, width, share), "links"))
+    first = written(alike(spokes(shared, share), texts, width, share), "links")
+    return first.union(written(alike(crossing_pairs(shared, components(first), share), texts, width, share), "links"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near duplicates: one row of each group stays, that with the least id (nulls last); all columns stay.
+    """docs without near duplicates: one row of each group stays, that with the least id; all columns stay.
 
     Texts are alike if the sets of their shingles (of `width` words) have that Jaccard similarity or more, and a group
-    is all that is reached by such links. A text of white space alone is alike only to its kind.
+    is all that is reached by such links.
+
+    Defined cases: a null text is an empty one; texts without a word are alike to each other and to no other; a text of
+    fewer words than a shingle is one shingle; null ids come after all others, and of equal ids the first row in the
+    order of files stays; of repeated rows one stays; an empty table gives an empty result; other columns are carried
+    along whatever their names.
     """
-    names, at, share = docs.columns, docs.columns.index(text_col), Fraction(str(similarity))
-    schema = docs.withColumns({"_row": F.lit(0).cast("long"), "_print": F.lit(b""), "_size": F.lit(0).cast("long"), "_prefix": F.array(F.lit(0).cast("long"))}).schema
+    names, share = docs.columns, Fraction(str(similarity))
+    rows = numbered(docs)  # (_doc, _key): the row and its key, the same however often they are read
     late = frequent_shingles(docs, docs.count(), text_col, width)
     place = np.argsort(late)
     sent = docs.sparkSession.sparkContext.broadcast((late[place], place))  # MOST_FREQUENT at most
 
     def mark(batches):
         by_hash, place = sent.value
-        for whole in batches:
-            for batch in chunks([pa.RecordBatch.from_arrays([*whole.columns, whole.column(at).fill_null("")], [*whole.schema.names, "text of the row"])], "text of the row"):
-                sets = shingle_sets(column_of(batch, "text of the row"), width)
-                prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                first = [prefix_of(s, by_hash, place, share) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], [*whole.schema.names, "_print", "_size", "_prefix"])
-
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = written(numbered.mapInArrow(mark, schema), "marked")
+        for batch in chunks(batches):
+            sets = shingle_sets(column_of(batch, "text"), width)
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            first = [prefix_of(s, by_hash, place, share) for s in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([column_of(batch, "key"), column_of(batch, "id"), pa.array(prints, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists], ["key", "id", "print", "size", "prefix"])
+
+    texts = rows.select(F.col("_key").alias("key"), F.coalesce(F.col("_doc")[text_col], F.lit("")).alias("text"))
+    marked = rows.select(F.col("_key").alias("key"), F.col("_doc")[id_col].alias("id"), F.coalesce(F.col("_doc")[text_col], F.lit("")).alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    held = written(marked.mapInArrow(mark, f"key long, id {id_type}, print binary, size int, prefix array<long>"), "marked")
     # the least (id, row) of each set of shingles stands for its copies
-    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r")))
-    distinct = held.groupBy("_print").agg(first.alias("first"), F.first("_size").alias("size"), F.first("_prefix").alias("prefix"))
-    distinct = written(distinct.select("first", F.col("first.r").alias("key"), "size", "prefix"), "distinct")
-    roots = components(similar_links(distinct, held, text_col, width, share))
-    grouped = distinct.select("key", "first").join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(grouped.select(F.col("first.r").alias("_row")), "kept")
-    # the texts are shuffled once, at every size alike: which rows stay is known by row alone, and that list grows with the corpus
-    return held.join(kept.hint("merge"), "_row", "left_semi").select(*names)
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("key").alias("r")))
+    ones = written(held.groupBy("print").agg(first.alias("first")), "ones")
+    copies = written(held.select("key", "print").join(ones, "print").filter(F.col("key") != F.col("first.r")).select("key"), "copies")
+    distinct = held.join(picked(copies)[1], "key", "left_anti")
+    roots = components(similar_links(distinct, texts, width, share))
+    members = written(ones.join(roots, F.col("first.r") == F.col("node")).select("first", "root"), "members")
+    kept = members.groupBy("root").agg(F.min("first").alias("kept"))
+    gone = members.join(kept, "root").filter(F.col("first.r") != F.col("kept.r")).select(F.col("first.r").alias("key"))
+    dropped = written(copies.union(gone).select(F.col("key").alias("_key")), "dropped")
+    return rows.join(picked(dropped)[1], "_key", "left_anti").select(*(F.col("_doc")[n].alias(n) for n in names))
