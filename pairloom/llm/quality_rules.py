@@ -4,14 +4,18 @@ Features of every whole text are measured once. Each rule is a ratio of them,
 taken as an integer, and goes into a relative-error quantile sketch (DDSketch:
 counts by logarithmic bin) for each language and source. A sketch is merged by
 adding the counts of equal bins, so Spark builds it with partial aggregation;
-no group's rows meet in one task. The upper fence of a rule is
+no group's rows meet in one task. Documents that fail the base rules aren't
+counted, as they are dropped anyway. The fence of a rule is set by the sketch's
+own quantiles alone (upper: the UPPER quantile):
 
-    max(floor, median + SPREAD * (upper - median))
+    fence = median + SPREAD * (upper - median)
 
-over the sketch's own quantiles (upper: the UPPER quantile); a document whose
-group has fewer than MIN_GROUP documents takes its language's sketch instead,
-and below that the sketch of all. Fences are joined back, and a document over
-one of them, or failing the base rules, isn't kept.
+A group with fewer than MIN_GROUP counted documents takes its language's sketch
+instead, and below that the sketch of all. Fences are joined back, and a document
+breaks a rule if it has more events (symbols, repeated words, ...) than the fence
+grants to its size, and a few more (the rule's ALLOWANCE), as a single event makes
+a large ratio in a short text. Documents that break a rule, or fail the base
+rules, aren't kept.
 
 Defined cases: a null text has no words and fails the base rules; null lang or
 source are groups of their own; repeated rows count each; an empty table gives
@@ -30,14 +34,16 @@ from .common import chunks, column_of, text_or_empty, words_of, written
 
 #: Bins of a sketch by doubling of the value: values in a bin differ by 2 ** (1 / BINS) at most.
 BINS = 16
-UPPER, SPREAD, MIN_GROUP = 0.75, 6.0, 50
-#: Rules: the ratio as an integer, and the fence's floor, under which a value is never held against a document.
+#: The upper quantile (as a fraction), the spread, and the least documents of a group's own sketch.
+UPPER, SPREAD, MIN_GROUP = (9, 10), 3, 50
+#: Rules: events, size, scale of their ratio as an integer, and the events that are granted beside the fence's share.
 RULES = {
-    "symbols_per_mille": ("1000 * n_symbols div greatest(word_chars, 1)", 100),
-    "repeat_per_mille": ("1000 * n_repeat_words div greatest(n_words, 1)", 400),
-    "dup_lines_per_mille": ("1000 * n_dup_lines div greatest(n_lines, 1)", 400),
-    "word_length_tenths": ("10 * word_chars div greatest(n_words, 1)", 120),
+    "symbols_per_mille": ("n_symbols", "word_chars", 1000, 5),
+    "repeat_per_mille": ("n_repeat_words", "n_words", 1000, 12),
+    "dup_lines_per_mille": ("n_dup_lines", "n_lines", 1000, 2),
+    "word_length_tenths": ("word_chars", "n_words", 10, 50),
 }
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 BLANKS = " \t\n\x0b\x0c\r"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
@@ -116,25 +122,23 @@ def top_of(bin_: Column) -> Column:
 
 
 def sketches(measured: DataFrame, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """Rows (group, rule, bin, n): the quantile sketch of each rule for each group."""
-    rules = F.array(*(F.struct(F.lit(k).alias("rule"), bin_of(F.expr(e)).alias("bin")) for k, (e, _) in RULES.items()))
-    return measured.select(*group, F.inline(rules)).groupBy(*group, "rule", "bin").agg(F.count("*").alias("n"))
+    """Rows (group, rule, bin, n): the quantile sketch of each rule for each group, of documents that pass the base rules."""
+    rules = F.array(*(F.struct(F.lit(k).alias("rule"), bin_of(F.expr(f"{scale} * {events} div greatest({size}, 1)")).alias("bin")) for k, (events, size, scale, _) in RULES.items()))
+    return measured.filter(f"not ({BASE_FAILED})").select(*group, F.inline(rules)).groupBy(*group, "rule", "bin").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """One row for each group with the fence of each rule; sketches of thin groups are replaced by merged ones."""
     lang, source = group
-    floor = F.element_at(F.create_map(*(F.lit(x) for k, (_, f) in RULES.items() for x in (k, f))), F.col("rule"))
 
     def quantiles(df: DataFrame, *by: str) -> DataFrame:
         merged = df.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "rule")
         ranked = merged.select(*by, "rule", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
-        cut = ranked.groupBy(*by, "rule").agg(at(0.5).alias("mid"), at(UPPER).alias("high"), F.max("total").alias("total"))
-        fence = F.col("mid") + (F.col("high") - F.col("mid")) * SPREAD
+        at = lambda part, whole: F.min(F.when(F.col("upto") * whole >= F.col("total") * part, F.col("bin")))
+        cut = ranked.groupBy(*by, "rule").agg(at(1, 2).alias("mid"), at(*UPPER).alias("high"), F.max("total").alias("total"))
         cut = cut.select(*by, "rule", "total", top_of(F.col("mid")).alias("mid"), top_of(F.col("high")).alias("high"))
-        return cut.select(*by, "rule", "total", F.greatest(floor.cast("double"), fence.cast("double")).alias("fence"))
+        return cut.select(*by, "rule", "total", (F.col("mid") + (F.col("high") - F.col("mid")) * SPREAD).alias("fence"))
 
     own, of_lang, of_all = quantiles(sketch, lang, source), quantiles(sketch, lang), quantiles(sketch)
     a, b, c = own.alias("a"), of_lang.alias("b"), of_all.alias("c")
@@ -151,8 +155,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     lang, source = group
     m, c = measured.alias("m"), cuts.alias("c")
     both = m.join(c, F.col(f"m.{lang}").eqNullSafe(F.col(f"c.{lang}")) & F.col(f"m.{source}").eqNullSafe(F.col(f"c.{source}")), "left")
-    broken = F.array_compact(F.array(*(F.when(F.expr(e) > F.col(f"fence_{k}"), F.lit(k)) for k, (e, _) in RULES.items())))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    over = lambda k: F.expr("{2} * ({0} - {3}) > fence_{4} * {1}".format(*RULES[k], k))
+    broken = F.array_compact(F.array(*(F.when(over(k), F.lit(k)) for k in RULES)))
+    failed = F.expr(BASE_FAILED)
     return both.select(
         F.col(f"m.{id_col}").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.size(broken) == 0)).alias("kept"), F.array_join(broken, ",").alias("broken_rules"),
@@ -160,8 +165,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
 
 def _rule_rows() -> str:
-    values = {"symbols_per_mille": "1000 * n_symbols // greatest(word_chars, 1)", "repeat_per_mille": "1000 * n_repeat_words // greatest(n_words, 1)", "dup_lines_per_mille": "1000 * n_dup_lines // greatest(n_lines, 1)", "word_length_tenths": "10 * word_chars // greatest(n_words, 1)"}
-    return " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS rule, {floor} AS low, {values[k]} AS v FROM m" for k, (_, floor) in RULES.items())
+    return " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS rule, {scale} * {events} // greatest({size}, 1) AS v, {scale} * ({events} - {allowed}) AS events, {size} AS size FROM m WHERE NOT ({BASE_FAILED})" for k, (events, size, scale, allowed) in RULES.items())
 
 
 ORACLE_SQL = f"""
@@ -180,29 +184,28 @@ m AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
   FROM w LEFT JOIN r ON w.rid = r.rid),
 x AS ({_rule_rows()}),
-s AS (SELECT lang, source, rule, low, CASE WHEN v <= 0 THEN -1 ELSE floor(log2(v) * {BINS} + 1e-9)::INT END AS bin, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT lang, source, rule, CASE WHEN v <= 0 THEN -1 ELSE floor(log2(v) * {BINS} + 1e-9)::INT END AS bin, count(*) AS n FROM x GROUP BY ALL),
 k AS (
   SELECT 'own' AS level, * FROM s
-  UNION ALL SELECT 'lang', lang, NULL, rule, low, bin, sum(n) FROM s GROUP BY ALL
-  UNION ALL SELECT 'all', NULL, NULL, rule, low, bin, sum(n) FROM s GROUP BY ALL),
+  UNION ALL SELECT 'lang', lang, NULL, rule, bin, sum(n) FROM s GROUP BY ALL
+  UNION ALL SELECT 'all', NULL, NULL, rule, bin, sum(n) FROM s GROUP BY ALL),
 u AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM k),
 q AS (
-  SELECT level, lang, source, rule, low, max(total) AS total, min(CASE WHEN upto >= total * 0.5 THEN bin END) AS a, min(CASE WHEN upto >= total * {UPPER} THEN bin END) AS b
+  SELECT level, lang, source, rule, max(total) AS total, min(CASE WHEN 2 * upto >= total THEN bin END) AS a, min(CASE WHEN {UPPER[1]} * upto >= {UPPER[0]} * total THEN bin END) AS b
   FROM u GROUP BY ALL),
 t AS (
   SELECT *, CASE WHEN a < 0 THEN 0 ELSE ceil(pow(2.0, (a + 1) / {BINS}.0) - 1e-9) - 1 END AS mid,
     CASE WHEN b < 0 THEN 0 ELSE ceil(pow(2.0, (b + 1) / {BINS}.0) - 1e-9) - 1 END AS high FROM q),
-f AS (SELECT level, lang, source, rule, total, greatest(low, mid + (high - mid) * {SPREAD}) AS fence FROM t),
+f AS (SELECT level, lang, source, rule, total, mid + (high - mid) * {SPREAD} AS fence FROM t),
 v AS (
-  SELECT x.rid, bool_or(x.v > CASE WHEN o.total >= {MIN_GROUP} THEN o.fence WHEN l.total >= {MIN_GROUP} THEN l.fence ELSE e.fence END) AS broken
+  SELECT x.rid, bool_or(x.events > x.size * CASE WHEN o.total >= {MIN_GROUP} THEN o.fence WHEN l.total >= {MIN_GROUP} THEN l.fence ELSE e.fence END) AS broken
   FROM x
   JOIN f o ON o.level = 'own' AND o.rule = x.rule AND o.lang IS NOT DISTINCT FROM x.lang AND o.source IS NOT DISTINCT FROM x.source
   JOIN f l ON l.level = 'lang' AND l.rule = x.rule AND l.lang IS NOT DISTINCT FROM x.lang
   JOIN f e ON e.level = 'all' AND e.rule = x.rule
   GROUP BY x.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT broken AS kept
-FROM m JOIN v ON m.rid = v.rid
+  ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND NOT broken AS kept
+FROM m LEFT JOIN v ON m.rid = v.rid
 """
