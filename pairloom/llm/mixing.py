@@ -12,9 +12,13 @@ ends is sorted, so a hot source doesn't meet in one task.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of
 its own, after all others; repeated rows are mixed one by one (equal keys follow
-id and size, and rows equal in all three go together); a document straddling the
-budget's end is taken if that brings the total nearer; a source of size 0 has target 0; an empty table gives an empty
-result; extra columns are not looked at.
+id, size and a hash of the text; of rows equal in all four, as many are taken as
+bring the total nearest to the target); a document straddling the budget's end is
+taken if that brings the total nearer; a source of size 0 has target 0; an empty
+table gives an empty result; extra columns are not looked at.
+
+The plan of the sources' targets is a window over one row for each source, which
+is meant for up to some hundred thousand sources; documents never meet in it.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ BINS = 4096
 #: Weights by the source's place in code-point order, repeating; share of all sizes that is mixed; epochs at most.
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 SEED = "mix-1"
+#: A document's place in the order of its source.
+PLACE = ("key", "id", "size", "print")
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -45,10 +51,10 @@ def quality_weight(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Column | None, *columns: str) -> DataFrame:
-    """(id, src, size, key, bin) of each document, and `columns`."""
+    """(id, src, size, print, key, bin) of each document, and `columns`."""
     text = text_or_empty(text_col)
-    thin = docs.select(*columns, F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (quality_weight(text) if weight is None else weight).alias("weight"))
-    keyed = thin.select(*columns, "id", "src", "size", (-F.ln(uniform(F.col("id"), seed)) / F.col("weight")).alias("key"))
+    thin = docs.select(*columns, F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("print"), (quality_weight(text) if weight is None else weight).alias("weight"))
+    keyed = thin.select(*columns, "id", "src", "size", "print", (-F.ln(uniform(F.col("id"), seed)) / F.col("weight")).alias("key"))
     return keyed.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int"))
 
 
@@ -88,29 +94,48 @@ def plan(by_bin: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 
 def cutoffs(sized: DataFrame, planned: DataFrame) -> DataFrame:
-    """The plan with the place (key, id, size) of the last document that the rest takes; null where it takes none of its end bin.
+    """The plan with `last`: the last place of the end bin of which the rest takes any, and how many of its equal rows; null where it takes none.
 
-    Only the bin in which the rest ends is sorted. Documents of equal place are taken together or not at all.
+    Only the bin in which the rest ends is sorted, by place, so that many equal rows are one.
     """
     s, p = sized.alias("s"), planned.alias("p")
     last = s.join(p, F.col("s.src").eqNullSafe(F.col("p.src")) & (F.col("s.bin") == F.col("p.end_bin")))
-    place = F.struct(F.col("key"), F.col("id"), F.col("size"))
-    tied = last.groupBy(F.col("s.src").alias("src"), "rest", "end_before", place.alias("place")).agg(F.sum("size").alias("sum"))
-    order = Window.partitionBy("src").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("end_before") + F.coalesce(F.sum("sum").over(order), F.lit(0))
-    taken = tied.withColumn("upto", upto).filter(2 * F.col("upto") + F.col("sum") <= 2 * F.col("rest"))
-    ends = taken.groupBy("src").agg(F.max("place").alias("last"))
+    tied = last.groupBy(F.col("s.src").alias("src"), "rest", "end_before", *PLACE).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("src").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    tied = tied.withColumn("upto", F.col("end_before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
+    some = F.floor((2 * F.col("rest") - (2 * F.col("upto") + F.col("size"))) / (2 * F.col("size"))) + 1
+    taken = tied.withColumn("m", F.when(F.col("size") > 0, F.least(some, F.col("n"))).when(F.col("upto") <= F.col("rest"), F.col("n")).otherwise(0)).filter("m > 0")
+    ends = taken.groupBy("src").agg(F.max(F.struct(F.struct(*PLACE).alias("place"), "n", "m")).alias("last"))
     e = ends.alias("e")
     return planned.alias("p").join(e, F.col("p.src").eqNullSafe(F.col("e.src")), "left").select("p.*", "e.last")
 
 
 def decided(sized: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
-    """sized with source_size, target, epochs and taken, by each row's own place alone; `columns` are kept."""
+    """sized with source_size, target, epochs and taken, by each row's own place alone; `columns` are kept.
+
+    Rows at the last place count as taken here, though the rest may take only some of them: partly_taken() has those.
+    """
     s, p = sized.alias("s"), ends.alias("p")
     both = s.join(p, F.col("s.src").eqNullSafe(F.col("p.src")))
-    within = (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & F.col("last").isNotNull() & (F.struct("key", "id", "size") <= F.col("last")))
+    within = (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & F.col("last").isNotNull() & (F.struct(*PLACE) <= F.col("last.place")))
     taken = F.col("size") * F.col("epochs") + F.when(within, F.col("size")).otherwise(0)
-    return both.select(*(F.col(f"s.{c}").alias(c) for c in columns), "size", "source_size", "target", "epochs", taken.alias("taken"))
+    partly = F.col("last").isNotNull() & (F.struct(*PLACE) == F.col("last.place")) & (F.col("last.m") < F.col("last.n"))
+    return both.select(*(F.col(f"s.{c}").alias(c) for c in columns), F.col("s.src").alias("_src"), "size", "source_size", "target", "epochs", taken.alias("taken"), partly.alias("_partly"), F.col("last.m").alias("_m"))
+
+
+def partly_taken(rows: DataFrame) -> DataFrame:
+    """Rows of decided() at a last place of which not all are taken: the first _m in the order of files and their rows are.
+
+    The rows are written first. A file's rows are numbered within it and the files by their counts, so that a row that
+    is repeated very often doesn't meet in one task.
+    """
+    held = written(rows.filter("_partly"), "mix-last").select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = written(held.groupBy("_src", "_file").agg(F.count("*").alias("_n")), "mix-files")
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_src").orderBy("_file")) - F.col("_n"))
+    h, b = held.alias("h"), before.alias("b")
+    both = h.join(b, F.col("h._src").eqNullSafe(F.col("b._src")) & (F.col("h._file") == F.col("b._file"))).select("h.*", "b._before")
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_src", "_file").orderBy("_at"))
+    return both.withColumn("_nth", nth).withColumn("taken", F.col("size") * (F.col("epochs") + (F.col("_nth") <= F.col("_m")).cast("long"))).select(*rows.columns)
 
 
 def planned_ends(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -125,8 +150,9 @@ def mix(
 ) -> DataFrame:
     """One row for each document: id, size, source_size, target, epochs of its source, and words taken."""
     sized = written(sizes(docs, id_col, text_col, source_col, seed, weight), "sizes")
-    found = decided(sized, planned_ends(sized, weights, share, most), "id", "src")
-    return found.withColumnsRenamed({"id": id_col, "src": source_col})
+    found = decided(sized, planned_ends(sized, weights, share, most), "id")
+    found = found.filter("not _partly").unionByName(partly_taken(found))
+    return found.select(F.col("id").alias(id_col), F.col("_src").alias(source_col), "size", "source_size", "target", "epochs", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
@@ -138,9 +164,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     ends = planned_ends(written(sizes(docs, id_col, text_col, source_col, seed, None), "sizes"), **how)
     row = docs.select(F.struct(*names).alias("_row"), F.col(id_col), F.col(text_col), F.col(source_col))
-    sized = sizes(row, id_col, text_col, source_col, seed, None, "_row")
+    # only rows of a partly taken place are looked for, by id, before sizes are made again
+    p = ends.filter("last.m < last.n").select(F.col("src").alias("_s"), F.col("last.place.id").alias("_i"))
+    asked = row.join(p, F.col(source_col).eqNullSafe(F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_i")), "left_semi")
+    mixed = [decided(sizes(rows, id_col, text_col, source_col, seed, None, "_row"), ends, "_row") for rows in (row, asked)]
+    sized = mixed[0].filter("not _partly").unionByName(partly_taken(mixed[1]))
     times = F.when(F.col("size") > 0, F.col("taken") / F.greatest(F.col("size"), F.lit(1))).otherwise(F.col("epochs")).cast("int")
-    counted = decided(sized, ends, "_row").withColumn("_times", times).filter("_times > 0")
+    counted = sized.withColumn("_times", times).filter("_times > 0")
     return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
@@ -169,10 +199,9 @@ e AS (
 f AS (
   SELECT s.doc_id, s.size, e.source_size, e.target, e.epochs, s.source,
     greatest(e.target - e.epochs * e.source_size, 0) AS rest,
-    sum(s.size) OVER (PARTITION BY s.source, s.key, s.doc_id, s.size) AS tied,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through
   FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
-  (size * epochs + CASE WHEN 2 * (through - tied) + tied <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
+SELECT doc_id, size, source_size, target,
+  (size * epochs + CASE WHEN 2 * through - size <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
 FROM f
 """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import graph_index, mixing, quality_rules, secret_scan, sentencepiece_fst, simhash, token_counts, token_store, toxicity, warc
 from .common import table
 
@@ -37,7 +35,7 @@ def op7_toxicity(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_simhash(spark, sf_dir):
@@ -49,4 +47,4 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_warc, op4_nearest_neighbours, op5_token_counts, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece)}
-ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op4_nearest_neighbours": graph_index.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
