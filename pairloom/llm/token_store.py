@@ -2,7 +2,8 @@
 
 A shard is one Arrow stream: batches of two columns, `input_ids` and `mask`,
 both fixed-size lists of SEQUENCE items, so that in a memory-mapped shard row i
-is a view at a known place. The ids of all documents of a shard follow each
+is a view at a known place. A mask is a bitmap, as Arrow keeps booleans, and its
+view holds eight items in a byte (`unpacked` spells them out). The ids of all documents of a shard follow each
 other, each document's closed by the end id; the last row is filled up, which
 its mask shows. The stream's schema carries the documents' ids and lengths, so
 a shard is read without any other file.
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import chunks, column_of, forget_at_exit, gather, scratch_path, text_or_empty, tokenizer_path, words_of, worker_cache, written
+from .common import CHUNK_BYTES, RunCache, chunks, column_of, forget_at_exit, gather, scratch_path, text_or_empty, tokenizer_path, words_of, worker_cache, written
 
 #: Ids in a row of a shard, and rows in a batch.
 SEQUENCE, BATCH_ROWS = 2048, 256
-#: A shard is closed once it has so many ids (a single longer document goes into one shard).
-SHARD_IDS = 4 << 20
+#: A shard is closed once it has so many ids (a single longer document goes into one shard): 32 MB of two-byte ids.
+SHARD_IDS = 16 << 20
 #: Words whose ids a worker keeps in each generation of its cache.
 KEPT_WORDS = 200_000
 END_ID = 1
@@ -82,70 +83,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
-        self.generations = [_Runs(), _Runs()]
+        self.known = RunCache(KEPT_WORDS)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
         words, codes, offsets = words_of(finer(texts))
-        spelled = words.to_pylist()
-        young, old = self.generations
-        if len(young.place) > KEPT_WORDS:
-            self.generations = young, old = [_Runs(), young]
-        find, before = young.place.get, old.place.get
-        places = [find(w, -1) for w in spelled]
-        missing = []
-        for i, p in enumerate(places):
-            if p < 0:
-                at = before(spelled[i], -1)
-                if at < 0:
-                    missing.append(i)
-                else:
-                    places[i] = young.add(spelled[i], old.run(at))
-        if missing:
-            for i, e in zip(missing, self.library.encode_batch_fast([spelled[i] for i in missing], add_special_tokens=False), strict=True):
-                places[i] = young.add(spelled[i], e.ids)
-        place = np.array(places, np.int64)
-        starts, sizes = young.starts_of(place), young.sizes_of(place)
-        ids = young.flat()[gather(starts[codes], sizes[codes])] if len(codes) else np.zeros(0, np.uint32)
+        data, starts, sizes = self.known.runs_of(words.to_pylist(), lambda new: [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        ids = data[gather(starts[codes], sizes[codes])] if len(codes) else np.zeros(0, np.uint32)
         sums = np.concatenate([[0], np.cumsum(sizes[codes] if len(codes) else np.zeros(0, np.int64))])
         return ids, sums[offsets]
 
 
-class _Runs:
-    """Runs of ids: place of a word, start and size of the run at a place."""
-
-    def __init__(self):
-        self.place: dict[str, int] = {}
-        self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.data = np.zeros(8192, np.uint32)
-
-    def add(self, word: str, ids) -> int:
-        k, n = len(self.place), len(ids)
-        if k >= len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        while self.used + n > len(self.data):
-            self.data = np.concatenate([self.data, self.data * 0])
-        self.data[self.used : self.used + n] = ids
-        self.start[k], self.size[k] = self.used, n
-        self.used += n
-        self.place[word] = k
-        return k
-
-    def run(self, k: int) -> np.ndarray:
-        return self.data[self.start[k] : self.start[k] + self.size[k]]
-
-    def starts_of(self, places: np.ndarray) -> np.ndarray:
-        return self.start[places]
-
-    def sizes_of(self, places: np.ndarray) -> np.ndarray:
-        return self.size[places]
-
-    def flat(self) -> np.ndarray:
-        return self.data
-
-
 def shard_bytes(part: int, number: int, ids: np.ndarray, doc_ids: np.ndarray, valid: np.ndarray, sizes: np.ndarray, sequence: int) -> bytes:
-    """One shard as an Arrow stream; ids that fit take two bytes."""
+    """One shard as an Arrow stream; ids that fit take two bytes. The sequence is a multiple of eight, so that masks begin at whole bytes."""
+    if sequence % 8:
+        raise ValueError("the sequence must be a multiple of eight")
     rows = -(-len(ids) // sequence)
     width = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
     laid, mask = np.zeros(rows * sequence, width), np.zeros(rows * sequence, bool)
@@ -173,21 +125,28 @@ class Shard:
         self.doc_valid = np.frombuffer(about[b"doc_valid"], np.uint8).astype(bool)
 
     def row(self, i: int, column: str = "input_ids") -> np.ndarray:
-        """Row i as a view of the buffer; the mask's bits are unpacked."""
-        batch = self.batches[i // BATCH_ROWS]
-        items = batch.column(column)[i % BATCH_ROWS].values
-        return items.to_numpy(zero_copy_only=column != "mask")
+        """Row i as a view of the buffer: its ids, or its mask as a bitmap of sequence / 8 bytes, the lowest bit first."""
+        batch, i = self.batches[i // BATCH_ROWS], i % BATCH_ROWS
+        if column != "mask":
+            return batch.column(column)[i].values.to_numpy(zero_copy_only=True)
+        width = self.sequence // 8
+        return np.frombuffer(batch.column("mask").values.buffers()[1], np.uint8)[i * width : (i + 1) * width]
 
     def ids(self) -> np.ndarray:
         parts = [_items(b.column("input_ids")) for b in self.batches]
         return (np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint16))[: self.n_ids]
 
 
+def unpacked(mask: np.ndarray) -> np.ndarray:
+    """The items of a mask's bitmap."""
+    return np.unpackbits(mask, bitorder="little").astype(bool)
+
+
 def _items(lists: pa.FixedSizeListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=True)
 
 
-def write_store(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Writes the shards of all documents under the path. The id must be an integer."""
     with open(vocabulary_path or tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, of fixed size
@@ -208,15 +167,17 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str | None = None,
             held, waiting, number = [], 0, number + 1
             return pa.record_batch([pa.array([made], pa.binary())], ["shard"])
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=min(2 * CHUNK_BYTES, 4 * shard_ids)):
             ids, offsets = encoder.encode(column_of(batch, "text"))
             n = batch.num_rows
             closed = np.full(len(ids) + n, end_id, np.uint32)
             closed[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
             doc_ids = column_of(batch, "id")
+            if not len(closed) or closed.max() < 1 << 16:
+                closed = closed.astype(np.uint16)  # half the memory while they wait
             held.append((closed, np.asarray(doc_ids.fill_null(0)), np.asarray(doc_ids.is_valid()), np.diff(offsets) + 1))
             waiting += len(closed)
-            if waiting >= SHARD_IDS:
+            if waiting >= shard_ids:
                 yield shard()
         if held:
             yield shard()
@@ -247,11 +208,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "id long, part long, number long, place long, n_tokens long, ids_crc32 long")
 
 
-def stored_documents(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+def stored_documents(docs: DataFrame, vocabulary_path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The columns that op1 returns, read back from the files written."""
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
-    write_store(docs, path, vocabulary_path)
+    write_store(docs, path, vocabulary_path, shard_ids=shard_ids)
     forget_at_exit(spark, path)
     read = written(read_store(spark, path), "token-index")
     shards = read.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
