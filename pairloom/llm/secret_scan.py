@@ -3,13 +3,16 @@
 Base spans (`assign`, `access`, `hex`) are plain patterns. Structural spans are
 reported only if a candidate decodes and its parts agree:
 
-* `pem`: a PEM armour of a private key whose body is valid base64 and holds a key structure;
+* `pem`: a PEM armour of a private key whose body is valid base64 and holds a key structure; line breaks may be
+  written as backslash and n, and header lines may come first. An encrypted body is ciphertext: there the headers
+  must name a cipher with its vector, and the body be whole blocks;
 * `jwt`: three base64url parts, of which the first is a JSON object with `alg` and the second a JSON object;
-* `keyb64` / `keyhex`: a base64 or hexadecimal run that decodes to a private-key structure.
+* `keyb64` / `keyhex`: a base64 run, on one line or wrapped at 64 or 76 columns, or a hexadecimal run, also with
+  0x or colons, that decodes to a private-key structure.
 
 A key structure is DER whose nested lengths fill the value exactly and whose
-members are those of PKCS#1, PKCS#8 or SEC 1, or an OpenSSH container whose
-length-prefixed members fill it exactly.
+members are those of PKCS#1, PKCS#8 (plain or encrypted), SEC 1 or DSA, or an
+OpenSSH container whose length-prefixed members fill it exactly.
 
 Defined cases: a null text is an empty text; empty texts give no spans; a row is
 returned for every input row, repeated rows and null ids included; extra columns
@@ -22,6 +25,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +40,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+PEM_HEADER = re.compile(r"([A-Za-z0-9-]+):[ \t]*(.*)")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:(?:[A-Za-z0-9+/]{64}\r?\n)+|(?:[A-Za-z0-9+/]{76}\r?\n)+)[A-Za-z0-9+/]{1,76}={0,2}(?![A-Za-z0-9+/=])")
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{44,}={0,2}")
-HEXKEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+HEXKEY = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9a-fA-F]{2}){32,}|(?:[0-9a-fA-F]{2}:){31,}[0-9a-fA-F]{2})(?![0-9A-Za-z])")
 
+#: Characters that a signed token, and an encoded key, have at least.
+LEAST_TOKEN, LEAST_KEY = 13, 44
+
+# Encodings of the object ids of password-based encryption (PKCS#5, PKCS#12), and block bytes by the name of a cipher.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+CIPHER_BLOCKS = {"DES": 8, "AES": 16}
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID, CONTEXT0, CONTEXT1 = 0x30, 0x02, 0x04, 0x06, 0xA0, 0xA1
 
 
@@ -68,14 +80,19 @@ def der_members(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1 or SEC 1 private key, or a PKCS#8 envelope around a value that is itself well-formed."""
+    """PKCS#1, DSA or SEC 1 private key, or a PKCS#8 envelope around a value that is itself well-formed or encrypted."""
     outer = der_members(data)
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     inner = der_members(outer[0][1])
+    tags = [tag for tag, _ in inner or ()]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8: the way of encryption, then whole blocks
+        way = der_members(inner[0][1])
+        return bool(way) and way[0][0] == OBJECT_ID and way[0][1].startswith(PASSWORD_BASED) and len(inner[1][1]) >= 32 and len(inner[1][1]) % 8 == 0
     if not inner or inner[0][0] != INTEGER or len(inner[0][1]) != 1:
         return False
-    tags = [tag for tag, _ in inner]
+    if tags == [INTEGER] * 6:  # DSA: version, three numbers of the domain, both keys
+        return inner[0][1] == b"\0" and all(len(value) >= 16 for _, value in inner[1:])
     if tags[:9] == [INTEGER] * 9:  # RSA: version and eight numbers
         return all(value for _, value in inner[:9])
     if len(inner) >= 2 and inner[0][1] == b"\x01" and tags[1] == OCTETS and set(tags[2:]) <= {CONTEXT0, CONTEXT1}:
@@ -147,25 +164,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def is_pem_body(body: str) -> bool:
+    """Whether what stands in a private key's armour is one: header lines, if any, then base64."""
+    lines = body.replace("\\r", "").replace("\\n", "\n").split("\n")
+    headers, rest = {}, []
+    for line in map(str.strip, lines):
+        found = PEM_HEADER.fullmatch(line)
+        if found and not rest:
+            headers[found[1].lower()] = found[2]
+        elif line:
+            rest.append(line)
+    data = from_base64("".join("".join(rest).split()))
+    if "ENCRYPTED" not in headers.get("proc-type", ""):
+        return is_key(data)
+    cipher, _, vector = headers.get("dek-info", "").partition(",")
+    block = CIPHER_BLOCKS.get(cipher[:3].upper())
+    return bool(data and block) and len(data) % block == 0 and len(vector) == 2 * block and re.fullmatch("[0-9a-fA-F]+", vector) is not None
+
+
+def pem_spans(text: str) -> list[tuple[int, int, str]]:
+    """Armours of private keys; one begins with the last opening line before its closing one."""
+    begins, found, missing = list(PEM_BEGIN.finditer(text)), [], set()
+    for i, m in enumerate(begins):
+        close = f"-----END {m[1]}-----"
+        if close in missing:
+            continue
+        end = text.find(close, m.end())
+        if end < 0:
+            missing.add(close)
+        elif (i + 1 == len(begins) or end < begins[i + 1].start()) and is_pem_body(text[m.end() : end]):
+            found.append((m.start(), end + len(close), "pem"))
+    return found
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded structure is a private key or a signed token."""
-    found = []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            if is_key(from_base64("".join(m[2].split()))):
-                found.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text:
+    found = pem_spans(text) if "PRIVATE KEY-----" in text else []
+    longest = max(map(len, text.split()), default=0)  # no candidate holds a blank within a line
+    if longest >= LEAST_TOKEN:
         for m in JWT.finditer(text):
             if is_json_object(m[1], "alg") and is_json_object(m[2]) and (not m[3] or from_base64(m[3])):
                 found.append((m.start(), m.end(), "jwt"))
-    within = [(s, e) for s, e, _ in found]
-    for kind, pattern in (("keyb64", B64), ("keyhex", HEXKEY)):
+    for kind, pattern in (("keyb64", WRAPPED), ("keyb64", B64), ("keyhex", HEXKEY)) if longest >= LEAST_KEY else ():
+        within = sorted(found)
         for m in pattern.finditer(text):
-            if any(s <= m.start() < e for s, e in within):
+            i = bisect_right(within, (m.start(), len(text) + 1, "")) - 1
+            if i >= 0 and m.start() < within[i][1]:
                 continue
-            run = m[0]
-            data = from_base64(run) if kind == "keyb64" else bytes.fromhex(run) if len(run) % 2 == 0 else None
-            if is_key(data):
+            if is_key(bytes.fromhex(m[1].replace(":", "")) if kind == "keyhex" else from_base64("".join(m[0].split()))):
                 found.append((m.start(), m.end(), kind))
     return found
 
@@ -236,7 +282,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in chunks(batches, at):
             texts = batch.column(at)
             new, sizes = texts.to_pylist(), batch.column(names.index(size_col)).to_pylist() if size_col in names else None
             for i, text in enumerate(new):
