@@ -16,8 +16,8 @@ and the payload is checked against the record's digest. An archive that breaks
 these rules raises an error.
 
 Defined cases: null html is an empty payload; null page ids and urls are
-written without the header; pages of one id and payload are written each and
-read back each; an empty table gives no records; extra columns are not looked at.
+written without the header; pages of one id and payload are written each, under
+record ids drawn at random, and read back each; an empty table gives no records; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -78,14 +78,22 @@ def _record_id(page: Column, digest: Column) -> Column:
 
 
 def with_origins(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, digest, first): first is the least page id with the same payload, where there is more than one such page."""
+    """(page_id, url, payload, digest, first, twice, first_twice): first is the least page id with the same payload, where
+    there is more than one such page; twice tells whether there are several rows of this page id and payload, first_twice of the first."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    repeated = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = written(repeated.filter("n > 1").drop("n"), "repeated")
+    counts = rows.groupBy("digest").agg(F.min(F.when(F.octet_length("payload") >= min_bytes, F.col("page_id"))).alias("first"), F.count("*").alias("n"))
+    repeated = written(counts.filter("n > 1").drop("n"), "repeated")
     few = repeated.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(repeated) if few else repeated, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    side = F.broadcast(repeated) if few else repeated
+    same = rows.select("digest", "page_id").join(side, "digest").groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.first("first").alias("first")).filter("n > 1")
+    same = written(same.select("digest", F.col("page_id").alias("_page"), F.lit(True).alias("_same"), F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)).alias("_is_first")), "same")
+    of_first = same.filter("_is_first").select("digest", F.lit(True).alias("first_twice"))
+    marked = written(repeated.join(of_first, "digest", "left").select("digest", "first", F.coalesce("first_twice", F.lit(False)).alias("first_twice")), "repeated")
+    r, t = rows.join(F.broadcast(marked) if few else marked, "digest", "left").alias("r"), (F.broadcast(same) if few else same).alias("t")
+    both = r.join(t, (F.col("r.digest") == F.col("t.digest")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
+    return both.select("page_id", "url", "payload", "r.digest", "first", F.coalesce("_same", F.lit(False)).alias("twice"), F.coalesce("first_twice", F.lit(False)).alias("first_twice"))
 
 
 def archive_records(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -103,7 +111,7 @@ def archive_records(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = S
         F.lit(CRLF),
     )
     block = F.when(revisit, head).when(chunked, F.concat(head, framed)).otherwise(F.concat(head, _raw(payload))).cast("binary")
-    made = rows.select("page_id", "url", "digest", "first", revisit.alias("revisit"), _record_id(F.col("page_id"), F.col("digest")).alias("record_id"), block.alias("block"))
+    made = rows.select("page_id", "url", "digest", "first", revisit.alias("revisit"), F.when(F.col("twice"), F.expr("concat('<urn:uuid:', uuid(), '>')")).otherwise(_record_id(F.col("page_id"), F.col("digest"))).alias("record_id"), "first_twice", block.alias("block"))
     cut = made.select("*", F.octet_length("block").alias("total"), F.posexplode(_pieces(F.col("block"), segment_bytes)).alias("at", "part"))
     whole, first = F.col("total") <= segment_bytes, F.col("at") == 0
     last = (F.col("at") + 1) * segment_bytes >= F.col("total")
@@ -117,7 +125,7 @@ def archive_records(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = S
         _header("WARC-Page-ID", F.when(first, F.col("page_id"))),
         _header("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), "digest"))),
         _header("WARC-Profile", F.when(first & F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        _header("WARC-Refers-To", F.when(first & F.col("revisit"), _record_id(F.col("first"), F.col("digest")))),
+        _header("WARC-Refers-To", F.when(first & F.col("revisit") & ~F.col("first_twice"), _record_id(F.col("first"), F.col("digest")))),
         _header("WARC-Refers-To-Page-ID", F.when(first & F.col("revisit"), F.col("first"))),
         _header("WARC-Segment-Number", F.when(~whole, F.col("at") + 1)),
         _header("WARC-Segment-Origin-ID", F.when(~first, F.col("record_id"))),
