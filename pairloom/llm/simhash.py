@@ -376,13 +376,13 @@ def _counted(u, v, a, b) -> pa.RecordBatch:
 _PAIRS = "u long, v long, a long, b long, n long"
 
 
-def _common_enough(pairs: DataFrame, share: Fraction, times: int) -> DataFrame:
-    """(u, v) of pairs that have, of the shingles which both prefixes must have in common, all or a `times`-th."""
+def _common_enough(pairs: DataFrame, share: Fraction) -> DataFrame:
+    """(u, v) of pairs that have half of the shingles which both prefixes must have in common."""
     up, down = share.numerator, share.denominator
     summed = pairs.groupBy("u", "v", "a", "b").agg(F.sum("n").alias("n"))
     both = F.expr(f"({up} * (a + b) + {up + down - 1}) div {up + down}")
     suffix = F.expr(f"({up} * greatest(a, b) + {down - 1}) div {down}")
-    return summed.filter(times * F.col("n") >= both - suffix + 1).select("u", "v")
+    return summed.filter(2 * F.col("n") >= both - suffix + 1).select("u", "v")
 
 
 def spokes(shared: DataFrame, share: Fraction) -> DataFrame:
@@ -397,17 +397,22 @@ def spokes(shared: DataFrame, share: Fraction) -> DataFrame:
             kept = np.flatnonzero((first != np.arange(len(first))) & may_be_alike(size, place, size[first], place[first], share))
             yield _counted(x["key"][first[kept]], x["key"][kept], size[first[kept]], size[kept])
 
-    return _common_enough(shared.select(*ENTRY).mapInArrow(run, _PAIRS), share, 2)
+    return _common_enough(shared.select(*ENTRY).mapInArrow(run, _PAIRS), share)
 
 
 def crossing_pairs(shared: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v) of all keys with different labels whose prefixes have as many shingles in common as alike sets need."""
+    """(u, v) of all keys with different labels that may be alike.
+
+    Alike sets have `need` shingles of both prefixes in common. After the first of these there is room for the others in
+    either prefix, so a pair is made only where the shingle stands so early; and both have so many that other sets have too.
+    """
     keys = shared.select(F.explode("key").alias("key")).groupBy("key").agg(F.count("*").cast("int").alias("alive"))
     known = written(keys.join(roots, F.col("key") == F.col("node"), "left").select("key", "alive", F.coalesce("root", "key").alias("label")), "labels")
 
     def pairs_of(held):
         shingle, key, size, place, alive, label = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size", "place", "alive", "label"))
         size, place = size.astype(np.int64), place.astype(np.int64)
+        length = size - -(-share.numerator * size // share.denominator) + 1  # of the prefix
         begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         counts = np.diff(np.append(begin, len(shingle)))
         mixed = np.repeat(np.maximum.reduceat(label, begin) != np.minimum.reduceat(label, begin), counts)
@@ -420,7 +425,7 @@ def crossing_pairs(shared: DataFrame, roots: DataFrame, share: Fraction) -> Data
             kept = label[a] != label[b]
             a, b, at = a[kept], b[kept], to
             need = least_common(size[a], size[b], share)[1]
-            kept = (np.minimum(alive[a], alive[b]) >= need) & may_be_alike(size[a], place[a], size[b], place[b], share)
+            kept = (np.minimum(alive[a], alive[b]) >= need) & (place[a] <= length[a] - need) & (place[b] <= length[b] - need) & may_be_alike(size[a], place[a], size[b], place[b], share)
             found.append((a[kept], b[kept]))
             if sum(len(x) for x, _ in found) > PAIRS or at >= len(rest):
                 a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
@@ -450,7 +455,7 @@ def crossing_pairs(shared: DataFrame, roots: DataFrame, share: Fraction) -> Data
     labelled = flat.join(side, "key").select("row", *ENTRY, "alive", "label")
     if not small:
         labelled = labelled.repartition(partitions(shared), "row").sortWithinPartitions("row", "shingle")
-    return _common_enough(labelled.mapInArrow(run, _PAIRS), share, 1)
+    return labelled.mapInArrow(run, _PAIRS).select("u", "v").distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
