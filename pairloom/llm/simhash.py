@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, gather, numbered, picked, text_or_empty, written
+from .common import chunks, column_of, gather, numbered, partitions, picked, text_or_empty, written
 from .components import components
 
 BITS, SEED = 64, 42
@@ -296,11 +296,6 @@ def may_be_alike(size_a, place_a, size_b, place_b, share: Fraction) -> np.ndarra
     return (np.minimum(size_a, size_b) * share.denominator >= np.maximum(size_a, size_b) * share.numerator) & (most >= both)
 
 
-def partitions(df: DataFrame) -> int:
-    """Spark's number of shuffle partitions; where it is given, they aren't coalesced, so that no task holds many rows."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _lists(columns: dict[str, np.ndarray], starts: np.ndarray) -> list[pa.Array]:
     """Each column cut at the starts into lists."""
     ends = np.append(starts, len(columns["key"]))
