@@ -48,7 +48,7 @@ CODES = ("D", "ID", "IID", "IIK", "IIR", "IK", "IR", "K", "R")
 STATES, NEXT = 4, (2, 2, 3, 2)
 INITIALS = {"s": 1, "u": 2, "a": 3}
 FAR = 1 << 40
-#: Rows of a block, and rows and bytes of text that are folded at a time.
+#: Rows of a block at most, and rows and bytes of text that are folded at a time, about.
 BLOCK, ROWS, BYTES = 1 << 9, 1 << 14, 1 << 23
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -214,29 +214,29 @@ def _batch(rows: list[dict], conv: pa.DataType, fields: dict[str, str]) -> pa.Re
     return pa.RecordBatch.from_arrays(arrays, ["conv_id", *fields])
 
 
-def _pieces(batches, columns: list[str]):
-    """Lists of rows in order, about ROWS rows or BYTES of text each, cut between conversations unless the last is longer than BLOCK rows."""
+def _pieces(batches, columns: list[str], block: int, most: int):
+    """Lists of rows in order, about `most` rows or BYTES of text each, cut between conversations unless the last is longer than `block` rows."""
     held, size = {c: [] for c in columns}, 0
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
+        for at in range(0, batch.num_rows, block):
+            part = batch.slice(at, block)
             for c in columns:
                 held[c] += column_of(part, c).to_pylist()
             size += int(pa.compute.sum(pa.compute.binary_length(column_of(part, "text"))).as_py() or 0)
             n = len(held["conv_id"])
-            if n >= ROWS or size >= BYTES:
+            if n >= most or size >= BYTES:
                 cut = n
-                while n - cut < BLOCK and cut and held["conv_id"][cut - 1] == held["conv_id"][-1]:
+                while n - cut < block and cut and held["conv_id"][cut - 1] == held["conv_id"][-1]:
                     cut -= 1
-                cut = n if n - cut >= BLOCK or not cut else cut
+                cut = n if n - cut >= block or not cut else cut
                 yield {c: v[:cut] for c, v in held.items()}
                 held, size = {c: v[cut:] for c, v in held.items()}, 0
     if held["conv_id"]:
         yield held
 
 
-def _segments(piece: dict):
-    """(first row, end, whether all of its conversation's rows here, facts) of each run of rows of one conversation, or of BLOCK rows of it."""
+def _segments(piece: dict, block: int):
+    """(first row, end, whether this is all of its conversation here, facts) of each run of rows of one conversation, or of `block` rows of it."""
     conv, n = piece["conv_id"], len(piece["conv_id"])
     bounds = [0, *(i for i in range(1, n) if conv[i] != conv[i - 1]), n]
     here = np.flatnonzero(~np.array(piece["gone"], bool))  # rows that weren't dropped
@@ -245,7 +245,7 @@ def _segments(piece: dict):
     cuts = []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         a, b = np.searchsorted(here, [lo, hi]).tolist()
-        at = [*range(a, b, BLOCK), b] if b > a else [a, b]
+        at = [*range(a, b, block), b] if b > a else [a, b]
         cuts += [(lo, hi, x, y, len(at) == 2) for x, y in zip(at[:-1], at[1:], strict=True)]
     cost, rank, pointers = folded(initial, fault, np.array([c[2] for c in cuts], np.int64), np.array([c[3] for c in cuts], np.int64))
     for k, (lo, hi, x, y, alone) in enumerate(cuts):
@@ -262,7 +262,7 @@ def _gaps(facts: dict) -> int:
     return facts["high"] - facts["low"] + 1 - facts["turns"] if facts["turns"] else 0
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, block: int, most: int) -> DataFrame:
     """Sorted rows folded: results of conversations that a task holds whole, and blocks (part isn't null) of those that may go on in another one."""
     kind, columns = rows.schema["conv_id"].dataType.simpleString(), ["conv_id", "turn", "role", "text", "gone", "fault"]
     fields = RESULT | COUNTED | PLACE | MATRIX | TEXTS
@@ -276,14 +276,14 @@ def blocks(rows: DataFrame) -> DataFrame:
                 conv_type = column_of(batch, "conv_id").type
                 yield batch
 
-        before, pieces = None, _pieces(typed(), columns)
+        before, pieces = None, _pieces(typed(), columns, block, most)
         piece = next(pieces, None)
         while piece is not None:
             after, made = next(pieces, None), []
             n, conv = len(piece["conv_id"]), piece["conv_id"]
             begun = before is None or before[0] == conv[0]  # what an earlier task holds isn't known here
             goes_on = after is None or after["conv_id"][0] == conv[-1]
-            for lo, hi, alone, facts in _segments(piece):
+            for lo, hi, alone, facts in _segments(piece, block):
                 if alone and not (lo == 0 and begun) and not (hi == n and goes_on):
                     total, leave, tail = closed(facts["cost"][0], facts["rank"][0])
                     audit, turns = spelt(facts["pointers"], 0, leave, facts["roles"], facts["texts"])
@@ -404,12 +404,12 @@ def finished(open_blocks: DataFrame) -> DataFrame:
     return parts.repartition(partitions(open_blocks), "conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(digest, _ddl(kind, RESULT))
 
 
-def repaired(conversations: DataFrame) -> DataFrame:
+def repaired(conversations: DataFrame, block: int = BLOCK, most: int = ROWS) -> DataFrame:
     """One row for each conv_id: faults after damage, the cheapest repair's cost and audit string, and the SHA-256 of the repaired turns."""
     rows = damaged(conversations)
     later = written(repeated(rows), "repeats").withColumn("_again", F.lit(True))
     marked = rows.join(picked(later)[1], ["key", "copy"], "left").withColumn("fault", F.when(F.col("_again") & (F.col("fault") != 1), 2).otherwise(F.col("fault")))
     order = ["conv_id", "turn", "role", "digest", "key", "copy"]  # nulls come first
     dealt = marked.select(*order, "text", "gone", "fault").repartitionByRange(partitions(conversations), *order).sortWithinPartitions(*order)
-    made = written(blocks(dealt), "blocks")
+    made = written(blocks(dealt, block, most), "blocks")
     return made.filter("part is null").select("conv_id", *RESULT).unionByName(finished(made.filter("part is not null")))

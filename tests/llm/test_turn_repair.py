@@ -70,8 +70,8 @@ def plain_conversation(rows):
     return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(made).encode()).hexdigest()
 
 
-def got_of(df):
-    rows = turn_repair.repaired(df).collect()
+def got_of(df, **sizes):
+    rows = turn_repair.repaired(df, **sizes).collect()
     found = {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in rows}
     assert len(found) == len(rows)
     return found
@@ -84,12 +84,10 @@ def some_rows(seed, n, conversations):
 
 
 @pytest.mark.parametrize(("seed", "n", "conversations", "block"), [(1, 600, 60, 512), (2, 800, 6, 5), (3, 2000, 3, 17), (4, 300, 1, 1)])
-def test_repairs_are_the_plain_ones(spark, monkeypatch, seed, n, conversations, block):
+def test_repairs_are_the_plain_ones(spark, seed, n, conversations, block):
     """Nulls in all columns, ties, repeated rows, clashing columns; one conversation over several tasks, and over blocks of any length."""
-    monkeypatch.setattr(turn_repair, "BLOCK", block)
-    monkeypatch.setattr(turn_repair, "ROWS", 64)
     rows = some_rows(seed, n, conversations)
-    assert got_of(spark.createDataFrame([(x, c, "score", t, r, "id") for c, t, r, x in rows], SCHEMA)) == plain_repair(rows)
+    assert got_of(spark.createDataFrame([(x, c, "score", t, r, "id") for c, t, r, x in rows], SCHEMA), block=block, most=64) == plain_repair(rows)
 
 
 def test_the_given_table(spark):
