@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit, graph_index, mixing, quality_rules, secret_scan, sentencepiece_fst, simhash, token_counts, token_store, toxicity, turn_repair, warc
+from . import bottom_k, filter_audit, graph_index, mixing, quality_rules, secret_scan, sentencepiece_fst, simhash, token_counts, token_store, toxicity, turn_repair, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op11_bottom_k(spark, sf_dir):
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,5 +58,5 @@ def op13_turn_repair(spark, sf_dir):
     return turn_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_warc, op4_nearest_neighbours, op5_token_counts, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece, op12_filter_audit, op13_turn_repair)}
-ORACLE_SQL = {"op4_nearest_neighbours": graph_index.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_warc, op4_nearest_neighbours, op5_token_counts, op6_quality_rules, op7_toxicity, op8_mixing, op9_simhash, op10_sentencepiece, op11_bottom_k, op12_filter_audit, op13_turn_repair)}
+ORACLE_SQL = {"op4_nearest_neighbours": graph_index.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_bottom_k": bottom_k.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_turn_repair": turn_repair.ORACLE_SQL}

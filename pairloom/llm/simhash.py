@@ -20,58 +20,21 @@ empty table gives an empty result; extra columns are not looked at.
 
 from __future__ import annotations
 
-from fractions import Fraction
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, gather, numbered, partitions, picked, text_or_empty, written
+from . import bottom_k
+from .common import chunks, column_of, numbered, picked, text_or_empty, written
 from .components import components
+from .shingles import shingle_hashes
 
-BITS, SEED = 64, 42
+BITS = 64
 #: Node pairs that are descended at a time, which bounds memory.
 STEP = 1 << 16
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def shingle_bounds(texts: pa.Array, width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """(words joined by single spaces, starts and ends of all shingles, offsets by text); A-Z are lower-cased."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    blank = np.ones(len(data) + len(texts) + 1, bool)  # a blank after each text, and one before all
-    laid = np.full(len(blank), 32, np.uint8)
-    at = 1 + np.arange(len(data)) + np.repeat(np.arange(len(texts)), np.diff(offsets))
-    blank[at], laid[at] = _BLANK[data], _LOWER[data]
-    kept = ~blank
-    kept[1:] |= ~blank[:-1]  # the first blank after a word
-    laid[blank] = 32
-    position = np.cumsum(kept) - 1  # of kept bytes
-    starts = position[1:][~blank[1:] & blank[:-1]]
-    ends = position[1:][blank[1:] & ~blank[:-1]]
-    word_ends = np.concatenate([[0], np.cumsum(~blank[1:] & blank[:-1])])  # words begun before each byte
-    words = word_ends[offsets + np.arange(len(texts) + 1)]
-    counts = np.diff(words)
-    n = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
-    first = np.repeat(words[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    last = first + np.repeat(np.minimum(counts, width), n) - 1
-    return laid[kept].tobytes(), starts[first], ends[last], np.concatenate([[0], np.cumsum(n)])
-
-
-def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the eight bytes of each shingle's hash, the first byte first; offsets by text)."""
-    data, starts, ends, offsets = shingle_bounds(texts, width)
-    digest = xxhash.xxh64_digest
-    joined = b"".join([digest(data[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-    return np.frombuffer(joined, np.uint8).reshape(-1, 8), offsets
 
 
 def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
@@ -239,261 +202,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# -- groups by exact similarity: a prefix join of shingle sets
-
-#: Texts that frequent shingles are looked for in, about; texts among them that make one frequent; such shingles, at most.
-SAMPLE, FREQUENT, MOST_FREQUENT = 4_000, 4, 50_000
-#: Pairs that a task makes at a time, about; parts of the shingles for each partition; shingles of a row of whole buckets, about.
-PAIRS, PARTS, ROW = 1 << 20, 8, 1 << 16
-#: Texts that are compared with one copy of another's.
-SPOKES = 256
-ENTRY = {"shingle": np.int64, "key": np.int64, "size": np.int32, "place": np.int32}
-ENTRIES = "shingle array<long>, key array<long>, size array<int>, place array<int>"
-
-
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    hashes, offsets = shingle_hashes(texts, width)
-    plain = hashes.view(">u8").ravel().astype(np.uint64)
-    return [np.unique(plain[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
-def frequent_shingles(docs: DataFrame, n: int, text_col: str, width: int) -> np.ndarray:
-    """Shingles frequent in a sample of n documents, the rarest first. They only order the shingles: any list gives the same links."""
-
-    def run(batches):
-        for batch in chunks(batches):
-            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(column_of(batch, "text"), width)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["shingle", "n"])
-
-    some = docs.select(text_or_empty(text_col).alias("text")).sample(min(1.0, SAMPLE / max(n, 1)), seed=SEED)
-    counted = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()
-    return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def prefix_of(own: np.ndarray, by_hash: np.ndarray, place: np.ndarray, share: Fraction) -> np.ndarray:
-    """The first shingles of a set, frequent ones last: sets of a Jaccard similarity of `share` or more have one of these in common."""
-    if not len(own):
-        return own
-    n = len(own) - ceil(share * len(own)) + 1
-    at = np.minimum(np.searchsorted(by_hash, own), max(len(by_hash) - 1, 0))
-    late = by_hash[at] == own if len(by_hash) else np.zeros(len(own), bool)
-    return np.concatenate([own[~late], own[late][np.argsort(place[at[late]])]])[:n] if late.any() else own[:n]
-
-
-def least_common(a: np.ndarray, b: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles that alike sets of sizes a and b have in common, those of them in both prefixes), at least: what one suffix can hold is less."""
-    up, down = share.numerator, share.denominator
-    both = -(-up * (a + b) // (up + down))
-    return both, both - -(-up * np.maximum(a, b) // down) + 1
-
-
-def may_be_alike(size_a, place_a, size_b, place_b, share: Fraction) -> np.ndarray:
-    """Whether sets that share the shingle at these places of their order can be alike: by their sizes, and by what can be common before and after."""
-    both, _ = least_common(size_a, size_b, share)
-    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
-    return (np.minimum(size_a, size_b) * share.denominator >= np.maximum(size_a, size_b) * share.numerator) & (most >= both)
-
-
-def _lists(columns: dict[str, np.ndarray], starts: np.ndarray) -> list[pa.Array]:
-    """Each column cut at the starts into lists."""
-    ends = np.append(starts, len(columns["key"]))
-    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(columns[c], t))) for c, t in ENTRY.items()]
-
-
-def shared_shingles(distinct: DataFrame) -> DataFrame:
-    """Rows of whole buckets: prefix shingles that several sets have, with the key and size of each such set and the
-    shingle's place in its order. The set in which it stands first begins the bucket: it has the fewest shingles of its own."""
-    n = PARTS * partitions(distinct)
-
-    def pack(batches):
-        for batch in batches:
-            prefix = column_of(batch, "prefix")
-            lengths = np.asarray(pa.compute.list_value_length(prefix))
-            shingle = np.asarray(prefix.flatten())
-            if not len(shingle):
-                continue
-            place = np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            part = (shingle.view(np.uint64) % np.uint64(n)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            columns = {"shingle": shingle, "key": np.repeat(np.asarray(column_of(batch, "key")), lengths), "size": np.repeat(np.asarray(column_of(batch, "size")), lengths), "place": place}
-            part = part[order]
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *_lists({c: x[order] for c, x in columns.items()}, starts)], ["part", *ENTRY])
-
-    def buckets(held):
-        x = {c: np.concatenate([np.asarray(column_of(b, c).flatten()) for b in held]) for c in ENTRY}
-        order = np.lexsort((x["key"], x["place"], x["shingle"]))
-        x = {c: v[order] for c, v in x.items()}
-        begin = np.flatnonzero(np.concatenate([[True], x["shingle"][1:] != x["shingle"][:-1]]))
-        counts = np.diff(np.append(begin, len(order)))
-        many = np.repeat(counts > 1, counts)
-        if many.any():
-            x, counts = {c: v[many] for c, v in x.items()}, counts[counts > 1]
-            begin = np.cumsum(counts) - counts
-            starts = begin[np.concatenate([[True], begin[1:] // ROW != begin[:-1] // ROW])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts))), *_lists(x, starts)], ["no", *ENTRY])
-
-    def run(batches):
-        """Rows come sorted by part, so one part is held at a time."""
-        held, last = [], None
-        for batch in batches:
-            parts = np.asarray(column_of(batch, "part"))
-            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi > lo:
-                    if held and parts[lo] != last:
-                        yield from buckets(held)
-                        held = []
-                    held.append(batch.slice(lo, hi - lo))
-                    last = parts[lo]
-        if held:
-            yield from buckets(held)
-
-    packed = distinct.select("key", "size", "prefix").mapInArrow(pack, f"part int, {ENTRIES}")
-    return packed.repartition(partitions(distinct), "part").sortWithinPartitions("part").mapInArrow(run, f"no long, {ENTRIES}")
-
-
-def _entries(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {c: np.asarray(column_of(batch, c).flatten()) for c in ENTRY}
-
-
-def _counted(u, v, a, b) -> pa.RecordBatch:
-    """(u, v, their sizes, how often they stand here)."""
-    order = np.lexsort((v, u))
-    u, v, a, b = u[order], v[order], a[order], b[order]
-    begin = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
-    n = np.diff(np.append(begin, len(u)))
-    return pa.RecordBatch.from_arrays([pa.array(x[begin], t) for x, t in ((u, pa.int64()), (v, pa.int64()), (a, pa.int64()), (b, pa.int64()))] + [pa.array(n, pa.int64())], ["u", "v", "a", "b", "n"])
-
-
-_PAIRS = "u long, v long, a long, b long, n long"
-
-
-def _common_enough(pairs: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v) of pairs that have half of the shingles which both prefixes must have in common."""
-    up, down = share.numerator, share.denominator
-    summed = pairs.groupBy("u", "v", "a", "b").agg(F.sum("n").alias("n"))
-    both = F.expr(f"({up} * (a + b) + {up + down - 1}) div {up + down}")
-    suffix = F.expr(f"({up} * greatest(a, b) + {down - 1}) div {down}")
-    return summed.filter(2 * F.col("n") >= both - suffix + 1).select("u", "v")
-
-
-def spokes(shared: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v): each bucket's first set and another of it that may be alike, if they meet in half as many buckets as alike sets share."""
-
-    def run(batches):
-        for batch in batches:
-            x = _entries(batch)
-            begin = np.flatnonzero(np.concatenate([[True], x["shingle"][1:] != x["shingle"][:-1]]))
-            first = np.repeat(begin, np.diff(np.append(begin, len(x["key"]))))
-            size, place = x["size"].astype(np.int64), x["place"].astype(np.int64)
-            kept = np.flatnonzero((first != np.arange(len(first))) & may_be_alike(size, place, size[first], place[first], share))
-            yield _counted(x["key"][first[kept]], x["key"][kept], size[first[kept]], size[kept])
-
-    return _common_enough(shared.select(*ENTRY).mapInArrow(run, _PAIRS), share)
-
-
-def crossing_pairs(shared: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v) of all keys with different labels that may be alike.
-
-    Alike sets have `need` shingles of both prefixes in common. After the first of these there is room for the others in
-    either prefix, so a pair is made only where the shingle stands so early; and both have so many that other sets have too.
-    """
-    keys = shared.select(F.explode("key").alias("key")).groupBy("key").agg(F.count("*").cast("int").alias("alive"))
-    known = written(keys.join(roots, F.col("key") == F.col("node"), "left").select("key", "alive", F.coalesce("root", "key").alias("label")), "labels")
-
-    def pairs_of(held):
-        shingle, key, size, place, alive, label = (np.concatenate([np.asarray(column_of(b, c)) for b in held]) for c in ("shingle", "key", "size", "place", "alive", "label"))
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        length = size - -(-share.numerator * size // share.denominator) + 1  # of the prefix
-        begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        counts = np.diff(np.append(begin, len(shingle)))
-        mixed = np.repeat(np.maximum.reduceat(label, begin) != np.minimum.reduceat(label, begin), counts)
-        rest = np.where(mixed, np.repeat(begin + counts, counts) - np.arange(len(shingle)) - 1, 0)  # keys after each in its bucket
-        upto, at, found = np.cumsum(rest), 0, []
-        while at < len(rest):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
-            a = np.repeat(np.arange(at, to), rest[at:to])
-            b = gather(np.arange(at, to) + 1, rest[at:to])
-            kept = label[a] != label[b]
-            a, b, at = a[kept], b[kept], to
-            need = least_common(size[a], size[b], share)[1]
-            kept = (np.minimum(alive[a], alive[b]) >= need) & (place[a] <= length[a] - need) & (place[b] <= length[b] - need) & may_be_alike(size[a], place[a], size[b], place[b], share)
-            found.append((a[kept], b[kept]))
-            if sum(len(x) for x, _ in found) > PAIRS or at >= len(rest):
-                a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-                swap = key[a] > key[b]
-                a, b, found = np.where(swap, b, a), np.where(swap, a, b), []
-                if len(a):
-                    yield _counted(key[a], key[b], size[a], size[b])
-
-    def run(batches):
-        """The entries of one row of buckets follow each other."""
-        held, last = [], None
-        for batch in batches:
-            rows = np.asarray(column_of(batch, "row"))
-            cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(rows)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi > lo:
-                    if held and rows[lo] != last:
-                        yield from pairs_of(held)
-                        held = []
-                    held.append(batch.slice(lo, hi - lo))
-                    last = rows[lo]
-        if held:
-            yield from pairs_of(held)
-
-    flat = shared.select(F.monotonically_increasing_id().alias("row"), F.arrays_zip(*ENTRY).alias("all")).select("row", F.inline("all"))
-    small, side = picked(known)
-    labelled = flat.join(side, "key").select("row", *ENTRY, "alive", "label")
-    if not small:
-        labelled = labelled.repartition(partitions(shared), "row").sortWithinPartitions("row", "shingle")
-    return labelled.mapInArrow(run, _PAIRS).select("u", "v").distinct()
-
-
-def alike(pairs: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """The pairs (u, v) of rows (key, text) whose shingle sets have the similarity.
-
-    The text of v goes to where that of u is, once for each pair; u's goes to each SPOKES of its pairs, before them.
-    """
-    up, down = share.numerator, share.denominator
-    pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30))), "pairs")
-    counts = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(SPOKES)).cast("int").alias("salts")), "hubs")
-    spread = pairs.join(counts, "u").select(F.col("v").alias("key"), "u", F.pmod("salt", "salts").cast("int").alias("salt"), F.lit(True).alias("spoke"))
-    hubs = counts.select(F.col("u").alias("key"), "u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("spoke"))
-    asked = written(spread.union(hubs), "asked")
-    dealt = texts.join(picked(asked)[1], "key").repartition(partitions(pairs), "u", "salt").sortWithinPartitions("u", "salt", "spoke")
-
-    def run(batches):
-        hub, own = None, None
-        for batch in chunks(batches):
-            sets = shingle_sets(column_of(batch, "text"), width)
-            key, u = (np.asarray(column_of(batch, c)) for c in ("key", "u"))
-            good = []
-            for i, spoke in enumerate(column_of(batch, "spoke").to_pylist()):
-                if not spoke:
-                    hub, own = u[i], sets[i]
-                elif hub == u[i]:
-                    common = len(np.intersect1d(own, sets[i], assume_unique=True))
-                    if common * down >= (len(own) + len(sets[i]) - common) * up:
-                        good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(key[good])], ["u", "v"])
-
-    return dealt.select("key", "u", "spoke", "text").mapInArrow(run, "u long, v long")
-
-
-def similar_links(distinct: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """Links (u, v) between keys that span all groups of sets at the similarity, and none under it.
-
-    Each bucket's sets are compared with its first one; then all pairs that aren't yet in one group by that.
-    """
-    shared = written(shared_shingles(distinct), "shared")
-    first = written(alike(spokes(shared, share), texts, width, share), "links")
-    return first.union(written(alike(crossing_pairs(shared, components(first), share), texts, width, share), "links"))
-
-
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: one row of each group stays, that with the least id; all columns stay.
 
@@ -505,34 +213,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order of files stays; of repeated rows one stays; an empty table gives an empty result; other columns are carried
     along whatever their names.
     """
-    names, share = docs.columns, Fraction(str(similarity))
-    rows = numbered(docs)  # (_doc, _key): the row and its key, the same however often they are read
-    late = frequent_shingles(docs, docs.count(), text_col, width)
-    place = np.argsort(late)
-    sent = docs.sparkSession.sparkContext.broadcast((late[place], place))  # MOST_FREQUENT at most
-
-    def mark(batches):
-        by_hash, place = sent.value
-        for batch in chunks(batches):
-            sets = shingle_sets(column_of(batch, "text"), width)
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            first = [prefix_of(s, by_hash, place, share) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([column_of(batch, "key"), column_of(batch, "id"), pa.array(prints, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists], ["key", "id", "print", "size", "prefix"])
-
-    texts = rows.select(F.col("_key").alias("key"), F.coalesce(F.col("_doc")[text_col], F.lit("")).alias("text"))
-    marked = rows.select(F.col("_key").alias("key"), F.col("_doc")[id_col].alias("id"), F.coalesce(F.col("_doc")[text_col], F.lit("")).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    held = written(marked.mapInArrow(mark, f"key long, id {id_type}, print binary, size int, prefix array<long>"), "marked")
-    # the least (id, row) of each set of shingles stands for its copies
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("key").alias("r")))
-    ones = written(held.groupBy("print").agg(first.alias("first")), "ones")
-    copies = written(held.select("key", "print").join(ones, "print").filter(F.col("key") != F.col("first.r")).select("key"), "copies")
-    distinct = held.join(picked(copies)[1], "key", "left_anti")
-    roots = components(similar_links(distinct, texts, width, share))
-    members = written(ones.join(roots, F.col("first.r") == F.col("node")).select("first", "root"), "members")
-    kept = members.groupBy("root").agg(F.min("first").alias("kept"))
-    gone = members.join(kept, "root").filter(F.col("first.r") != F.col("kept.r")).select(F.col("first.r").alias("key"))
-    dropped = written(copies.union(gone).select(F.col("key").alias("_key")), "dropped")
+    names, rows = docs.columns, numbered(docs)  # (_doc, _key): the row and its key, the same however often they are read
+    grouped = bottom_k.similar_groups(rows, id_col, text_col, width, similarity, empty_alike=True)
+    dropped = written(grouped.filter(F.col("key") != F.col("least.r")).select(F.col("key").alias("_key")), "dropped")
     return rows.join(picked(dropped)[1], "_key", "left_anti").select(*(F.col("_doc")[n].alias(n) for n in names))

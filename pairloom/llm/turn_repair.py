@@ -413,3 +413,28 @@ def repaired(conversations: DataFrame, block: int = BLOCK, most: int = ROWS) ->
     dealt = marked.select(*order, "text", "gone", "fault").repartitionByRange(partitions(conversations), *order).sortWithinPartitions(*order)
     made = written(blocks(dealt, block, most), "blocks")
     return made.filter("part is null").select("conv_id", *RESULT).unionByName(finished(made.filter("part is not null")))
+
+
+_ENTRIES = ", ".join(f"({before}, {run}, {after})" for before, run, after in EDGES)
+_TURNS = "list_transform(range(e.run), lambda k: CASE WHEN (CASE WHEN k = 0 THEN {next} WHEN {next} = 2 THEN 3 ELSE 2 END) = 2 THEN 'user:' ELSE 'assistant:' END)"
+_NEXT = "(CASE WHEN {0} = 2 THEN 3 ELSE 2 END)"
+ORACLE_SQL = rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM h, crc),
+b AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM g WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM b),
+f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS own FROM o),
+e AS (SELECT * FROM (VALUES {_ENTRIES}) v(was, run, now)),
+ways AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS made FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+  SELECT conv_id, i, state, cost, audit, made FROM (SELECT w.conv_id, f.i, CASE c.edit WHEN 'D' THEN e.now WHEN 'S' THEN 1 ELSE {_NEXT.format("e.now")} END AS state,
+    w.cost + {INSERT} * e.run + CASE c.edit WHEN 'D' THEN {DELETE} WHEN 'R' THEN {REROLE} ELSE {KEEP} END + CASE WHEN c.edit <> 'D' AND f.fault = 3 THEN {TRUNCATED} ELSE 0 END AS cost,
+    w.audit || repeat('I', e.run) || CASE c.edit WHEN 'S' THEN 'K' ELSE c.edit END AS audit,
+    w.made || {_TURNS.format(next=_NEXT.format("w.state"))} || CASE c.edit WHEN 'D' THEN [] WHEN 'R' THEN [CASE WHEN {_NEXT.format("e.now")} = 2 THEN 'user:' ELSE 'assistant:' END || f.text] ELSE [f.role || ':' || f.text] END AS made
+    FROM ways w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN e ON e.was = w.state JOIN (VALUES ('D'), ('K'), ('R'), ('S')) c(edit)
+      ON c.edit = 'D' OR f.fault NOT IN (1, 2) AND (c.edit = 'R' OR c.edit = 'K' AND f.own = {_NEXT.format("e.now")} OR c.edit = 'S' AND f.own = 1 AND e.now = 0)) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+n AS (SELECT w.conv_id, w.cost + {INSERT} * e.run AS cost, w.audit || repeat('I', e.run) AS audit, w.made || {_TURNS.format(next=_NEXT.format("w.state"))} AS made FROM ways w JOIN e ON e.was = w.state AND (e.now = 3 OR e.now = 0 AND e.run = 0)
+  WHERE w.i = (SELECT count(*) FROM f WHERE f.conv_id IS NOT DISTINCT FROM w.conv_id) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + {INSERT} * e.run, w.audit || repeat('I', e.run)) = 1),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND (before, own) NOT IN ((1, 2), (2, 3), (3, 2))) AS illegal FROM (SELECT *, lag(own) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f) GROUP BY conv_id)
+SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, n.cost::BIGINT AS cost, n.audit, sha256(array_to_string(n.made, chr(10))) AS repaired_sha256
+FROM n LEFT JOIN a ON n.conv_id IS NOT DISTINCT FROM a.conv_id"""
