@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Line breaks and blanks as Python's splitlines and strip take them.
 BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: All the blanks, for functions that take a set of characters.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(BLANK, c))
 
 # Texts that stand for null, by rule.
 NULL_AT_LOAD = ("none", "null", "")
@@ -15,7 +19,8 @@ NULL_DESCRIPTION = ("none", "null", "na", "n/a", "")
 NVD_PLACEHOLDERS = ("NVD-CWE-noinfo", "NVD-CWE-Other")
 # Words that a function's name can't be.
 KEYWORDS = ("if", "else", "while", "for", "switch", "return", "sizeof", "typeof", "do")
-FUNCTION_NAME = r"(?U)^(?:static\s+)?(?:inline\s+)?(?:const\s+)?(?:\w+[\s*]+)*?(\w+)\s*\("
+#: What may stand before a name and its parenthesis: words, blanks and stars.
+BEFORE_NAME = rf"(?U)^\w[\w*{BLANK[1:-1]}]*\z"
 
 
 def lines(text: Column) -> Column:
@@ -26,11 +31,11 @@ def lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANK}+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def is_null_text(text: Column, tokens: tuple[str, ...] = NULL_AT_LOAD) -> Column:
@@ -72,9 +77,13 @@ def same_but_for_trailing_blanks(a: Column, b: Column) -> Column:
 
 
 def function_name(body: Column) -> Column:
+    """The last word before the first parenthesis of the first line, if only words, blanks and stars stand before it; else
+    (and for a keyword) the first 40 characters of that line. Matching takes one pass over the line, however long it is."""
     first = strip(F.substring_index(body, "\n", 1))
-    name = F.regexp_extract(first, FUNCTION_NAME, 1)
-    return F.when((name != "") & ~name.isin(*KEYWORDS), name).otherwise(F.substring(first, 1, 40))
+    head = F.substring_index(first, "(", 1)
+    # from behind, the name comes first, so that nothing is looked for at each place
+    name = F.reverse(F.regexp_extract(F.reverse(head), rf"(?U)^{BLANK}*(\w+)", 1))
+    return F.when(first.contains("(") & head.rlike(BEFORE_NAME) & (name != "") & ~name.isin(*KEYWORDS), name).otherwise(F.substring(first, 1, 40))
 
 
 def different_file(path_a: Column, path_b: Column, project_a: Column, project_b: Column) -> Column:

@@ -184,12 +184,18 @@ def issue_counts(spark, sf_dir):
 # -- texts and prompts
 
 
-@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id::VARCHAR WHEN 1 THEN 'g' WHEN 2 THEN left('if (' || source || ')', 40) ELSE left(regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') , 40) END AS name FROM documents WHERE doc_id % 4 < 3 OR NOT contains(split_part(text, chr(10), 1), '(')""")
+@query(r"""WITH l AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '^\s+|\s+$', '', 'g') AS first FROM documents),
+b AS (SELECT doc_id, CASE k WHEN 0 THEN 'static inline const char *f' || doc_id::VARCHAR || '(int a)' WHEN 1 THEN first || ' g (x)' WHEN 2 THEN 'if (' || first || ')' ELSE first END AS line FROM l),
+n AS (SELECT *, regexp_extract(line, '^(?:[\pL\pM\pN_]+[\s*]+)*([\pL\pM\pN_]+)\s*\(', 1) AS name FROM b)
+SELECT doc_id, CASE WHEN name <> '' AND name NOT IN ('if', 'else', 'while', 'for', 'switch', 'return', 'sizeof', 'typeof', 'do') THEN name ELSE left(line, 40) END AS name FROM n""")
 def function_names(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    body = F.when(k == 0, F.concat(F.lit("static inline const char *f"), F.col("doc_id").cast("string"), F.lit("(int a)\n{ g(); }"))).when(k == 1, "  g (x)\nint h(y)").when(k == 2, F.concat(F.lit("if ("), "source", F.lit(")"))).otherwise(F.col("text"))
-    rows = table(spark, sf_dir, "documents").filter((k < 3) | ~F.substring_index("text", "\n", 1).contains("("))
-    return rows.select("doc_id", X.function_name(body).alias("name"))
+    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    first = X.strip(F.substring_index(text, "\n", 1))
+    body = (
+        F.when(k == 0, F.concat(F.lit("static inline const char *f"), F.col("doc_id").cast("string"), F.lit("(int a)\n{ g(); }"))).when(k == 1, F.concat(first, F.lit(" g (x)\nint h(y)")))
+        .when(k == 2, F.concat(F.lit("if ("), first, F.lit(")"))).otherwise(text)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", X.function_name(body).alias("name"))
 
 
 @query(r"""WITH n AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS w, text FROM documents)

@@ -33,6 +33,23 @@ def test_function_name(spark, body, name):
     assert collect(spark, [body], X.function_name(F.col("t"))) == [(name,)]
 
 
+def test_function_names_are_those_of_the_pattern(spark):
+    """Against the pattern itself on short lines; on long ones, where a matcher that backtracks would run for ever or out of stack."""
+    import random
+
+    pattern = re.compile(r"(?:static\s+)?(?:inline\s+)?(?:const\s+)?(?:\w+[\s*]+)*?(\w+)\s*\(")
+    r, pieces = random.Random(1), ["static ", "inline ", "const ", "int", " ", "*", "f", "(", ")", "\t", "größe", "if", "_x1", ",", "::", "\x1c", "\n", "\xa0"]
+    bodies = ["".join(r.choice(pieces) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    want = []
+    for body in bodies:
+        line = body.split("\n")[0].strip()
+        found = pattern.match(line)
+        want.append(found[1] if found and found[1] not in X.KEYWORDS else line[:40])
+    assert [x for (x,) in collect(spark, bodies, X.function_name(F.col("t")))] == want
+    long = ["word " * 100_000 + "name(int a)", "w" * 500_000 + " * name (", "a" + " " * 300_000 + "(", "word " * 100_000, "* " * 100_000 + "x("]
+    assert [x for (x,) in collect(spark, long, X.function_name(F.col("t")))] == ["name", "name", "a", long[3][:40], long[4][:40]]
+
+
 def test_null_vocabularies(spark):
     got = collect(spark, [None, "", " None ", "NULL", "n/a", "x "], X.present(F.col("t")), X.has_description(F.col("t")))
     assert got == [(None, False), (None, False), (None, False), (None, False), ("n/a", False), ("x", True)]
