@@ -18,8 +18,9 @@ from ..functions.reward import graded_reward, score_completions
 from ..operators import audit, metrics, ordinals, pairing, rollout, runs
 from ..schemas import PAIR_COLUMNS, B
 from ..sources import readers, sinks
-from ..streaming.logs import append_new
-from .catalog import ACCURACY_SQL, NORMAL_SQL, PARSED_SQL, REWARD_SQL, answers, code_pairs, query, table
+from ..streaming.logs import append_new, completion_log
+from ..streaming.state import completion_rows, drained, numbered_calls, stream_rates
+from .catalog import ACCURACY_SQL, EVENTS, SEC, NORMAL_SQL, PARSED_SQL, REWARD_SQL, answers, code_pairs, query, table
 from .datasets import in_order
 
 #: Pairs of code_pairs(): a turn of a conversation (v) and the next one (p).
@@ -394,3 +395,40 @@ def completion_log_steps(spark, sf_dir):
         sinks.completion_log(rows.filter(F.col("doc_id") % 3 == step - 1), path, step, ("doc_id",))
     log = spark.read.schema("step long, idx long, reward double, timestamp timestamp").json(path)
     return log.filter("timestamp is not null").groupBy("step").agg(F.count("*").alias("n"), F.max("idx").alias("last_idx"), F.round(F.sum("reward"), 6).alias("reward"))
+
+
+LATE_SQL = "(event_id % 13 = 0 AND day(ts) <= 8)"
+
+
+@query(f"""SELECT event_id, round(CASE WHEN {SEC.format('b', 'ts')} > 0 THEN 20 / ({SEC.format('b', 'ts')} / 60) WHEN b IS NOT NULL THEN 'inf'::DOUBLE END, 6) AS rate, round({SEC.format('a', 'ts')}, 6) AS delta_seconds, round({SEC.format('f', 'ts')} / 60, 4) AS elapsed_minutes, completed
+FROM (SELECT event_id, ts, lag(ts, 20) OVER w AS b, lag(ts) OVER w AS a, first_value(ts) OVER w AS f, row_number() OVER w AS completed FROM events WHERE NOT {LATE_SQL} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))""")
+def rates_of_a_stream(spark, sf_dir):
+    """Ten days of events a round: some come a round later but within the delay, others so late that they are left out; the stream is stopped after each round."""
+    log, out, mark = (scratch(spark, n) for n in ("events", "rates", "mark"))
+    events = table(spark, sf_dir, "events").select(*EVENTS)
+    day, hour = F.day("ts"), F.hour("ts")
+    due = F.least(F.floor((day - 1) / 10), F.lit(2))
+    due = F.when((F.col("event_id") % 13 == 0) & (day <= 8), 2).when((F.col("event_id") % 11 == 0) & (day % 10 == 0) & (hour >= 6), F.least(due + 1, F.lit(2))).otherwise(due)
+    end = events.select("event_type").distinct().select("event_type", F.lit("2200-01-01").cast(events.schema["ts"].dataType).alias("ts"), F.lit(None).cast("long").alias("event_id"))
+    for rows in (*(events.filter(due == k) for k in range(3)), end):
+        rows.write.mode("append").parquet(log)
+        drained(stream_rates(spark.readStream.schema(events.schema).parquet(log), *EVENTS, "1 day"), out, mark)
+    found = spark.read.parquet(out)
+    return found.select(F.col("id").alias("event_id"), F.round("rate", 6).alias("rate"), F.round("delta_seconds", 6).alias("delta_seconds"), F.round("elapsed_minutes", 4).alias("elapsed_minutes"), "completed")
+
+
+@query(f"""WITH {PARSED_SQL}, c AS (SELECT doc_id // 4 AS call, (doc_id // 4) % 3 AS k, lang, count(*) AS size, sum({REWARD_SQL.format(acc=ACCURACY_SQL)}) AS reward FROM r JOIN (SELECT doc_id, coalesce(lang, '') AS lang FROM documents) USING (doc_id) GROUP BY ALL),
+t AS (SELECT lang, k, count(*) AS calls, sum(size)::BIGINT AS n, round(sum(reward), 6) AS reward FROM c GROUP BY lang, k)
+SELECT lang AS log, k AS round, calls, calls AS steps, (1 + sum(calls) OVER w - calls)::BIGINT AS first, (sum(calls) OVER w)::BIGINT AS last, n, reward FROM t WINDOW w AS (PARTITION BY lang ORDER BY k)""")
+def steps_of_calls(spark, sf_dir):
+    """Calls of the reward by language, in three rounds, after each of which the stream is stopped: the numbers go on without a gap or repeat."""
+    log, out, mark = (scratch(spark, n) for n in ("calls", "steps", "mark"))
+    scored = score_completions(answers(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("log")), "doc_id"), "response", "is_vulnerable", "truth")
+    one = F.struct("doc_id", "is_vulnerable", F.col("truth").alias("ground_truth_lines"), F.col("response").alias("completion"), "reward")
+    calls = scored.groupBy("log", F.floor(F.col("doc_id") / 4).alias("call")).agg(F.array_sort(F.collect_list(one)).alias("completions"))
+    for k in range(3):
+        sinks.json_lines(calls.filter(F.col("call") % 3 == k), log, append=True)
+        drained(completion_rows(numbered_calls(completion_log(spark, log, calls.schema), "log")), out, mark)
+    rows = spark.read.parquet(out)
+    steps = rows.groupBy("log", (F.col("call") % 3).alias("round"), "call", "step").agg(F.count("*").alias("n"), F.sum("reward").alias("reward"))
+    return steps.groupBy("log", "round").agg(F.count_distinct("call").alias("calls"), F.count_distinct("step").alias("steps"), F.min("step").alias("first"), F.max("step").alias("last"), F.sum("n").alias("n"), F.round(F.sum("reward"), 6).alias("reward"))
