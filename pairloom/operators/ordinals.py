@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder: lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and an executor's loss costs no recomputation before it. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
@@ -37,7 +40,7 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
     rows before it. Only counts of partitions meet in one task.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    held = checkpointed(placed.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).drop("_id"))
+    held = written(placed.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).drop("_id"), "ordinal")
     counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")  # a row for each partition

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .ordinals import with_ordinal
+from .ordinals import with_ordinal, written
+from .quantiles import with_percentiles
 
 # Seconds that part batches, characters a token, and the bounds of slow and anomalous batches.
 GAP, CHARS_PER_TOKEN, SLOW, ANOMALOUS = 30, 4.5, 300, 5.0
@@ -105,7 +106,9 @@ def batch_summary(facts: DataFrame, run: str) -> DataFrame:
     d = F.col("duration")
     part = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), d)), F.lit(0.0))
     share = lambda flag: F.when(F.sum(d) > 0, 100 * part(flag) / F.sum(d)).otherwise(0.0)
-    return facts.groupBy(run).agg(F.count("*").alias("batches"), F.percentile(d, F.lit(0.5)).alias("median_duration"), F.avg(d).alias("mean_duration"), F.max(d).alias("max_duration"), *(F.count_if(F.col(f"is_{k}")).alias(k) for k in ("slow", "anomalous")), *(share(f"is_{k}").alias(f"{k}_percent") for k in ("slow", "anomalous")))
+    facts = written(facts, "batches")
+    sums = facts.groupBy(run).agg(F.count("*").alias("batches"), F.avg(d).alias("mean_duration"), F.max(d).alias("max_duration"), *(F.count_if(F.col(f"is_{k}")).alias(k) for k in ("slow", "anomalous")), *(share(f"is_{k}").alias(f"{k}_percent") for k in ("slow", "anomalous")))
+    return with_percentiles(sums, facts, "duration", {"median_duration": 0.5}, [run])
 
 
 def rolling_median(df: DataFrame, run: str, ts: str, tie: str, value: str, before: int = 20, part: int | None = None, block: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import series_name
+from .quantiles import with_percentiles
 
 METRICS = ("Acc", "F1", "P-C", "P-V", "P-B", "P-R", "Loc F1")
 
@@ -55,7 +56,7 @@ def rollouts_with_rewards(rollouts: DataFrame, output: str = "output", truth: st
 
 def rollout_scores(scored: DataFrame, over: str = "n_lines") -> DataFrame:
     """Means and deviation of old and new rewards by label and in total, and how often more lines than the 99th percentile are given."""
-    edge = scored.agg(F.percentile(over, F.lit(0.99)).alias("_p99"))
+    edge = with_percentiles(scored.sparkSession.range(1), scored, over, {"_p99": 0.99}, []).select("_p99")
     rows = scored.join(F.broadcast(edge))  # one row
     return rows.groupingSets([["is_vulnerable"], []], "is_vulnerable").agg(
         F.grouping("is_vulnerable").cast("boolean").alias("is_total"), F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("new_score").alias("mean_new_score"), F.stddev_pop("score").alias("std_score"),

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import written
+from .quantiles import with_percentiles
+
 CAPS = (50, 75, 100)
 
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, min, max, mean, median, population and sample deviation, and exact percentiles."""
     v = F.col(value)
-    return df.groupBy(*(by or [])).agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std"),
-        *(F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (75, 90, 95, 99)),
-    )
+    facts = df.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std"))
+    return with_percentiles(facts, df, value, {"median": 0.5, **{f"p{p}": p / 100 for p in (75, 90, 95, 99)}}, list(by or []))
 
 
 def frequencies(df: DataFrame, value: str, name: str, above: int = 0, samples: int = 3) -> DataFrame:
@@ -32,17 +33,19 @@ def frequencies(df: DataFrame, value: str, name: str, above: int = 0, samples: i
 
 def loss_if_capped(df: DataFrame, value: str, caps: tuple[int, ...] = CAPS) -> DataFrame:
     """(cap, lost, percent): rows over each cap; caps are the fixed ones and the floors of three percentiles."""
-    found = df.agg(*(F.percentile(value, F.lit(p)).alias(f"p{i}") for i, p in enumerate((0.75, 0.95, 0.99))), F.count(value).alias("n"))
-    thresholds = found.select("n", F.explode(F.array_distinct(F.array(*(F.floor(f"p{i}").cast("long") for i in range(3)), *(F.lit(c).cast("long") for c in caps)))).alias("cap")).filter("cap is not null")
     # few thresholds against counts by value, not against all rows
-    by_value = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    by_value = written(df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")), "counts")
+    named = {f"p{i}": p for i, p in enumerate((0.75, 0.95, 0.99))}
+    found = with_percentiles(by_value.agg(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))).alias("n")), by_value, "v", named, [], weight="k")
+    thresholds = found.select("n", F.explode(F.array_distinct(F.array(*(F.floor(c).cast("long") for c in named), *(F.lit(c).cast("long") for c in caps)))).alias("cap")).filter("cap is not null")
     over = by_value.join(F.broadcast(thresholds), F.col("v") > F.col("cap"), "right")  # six thresholds
     return over.groupBy("cap", "n").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("lost")).select("cap", "lost", (100.0 * F.col("lost") / F.col("n")).alias("percent"))
 
 
 def cap_threshold(df: DataFrame, count: str, percentile: float, multiplier: float = 1.0) -> DataFrame:
-    """One row with the threshold: the percentile of counts that aren't zero, times the multiplier, rounded up."""
-    return df.filter(F.col(count) > 0).agg(F.ceil(multiplier * F.percentile(count, F.lit(percentile / 100))).cast("long").alias("threshold"))
+    """One row with the threshold: the percentile of counts that aren't zero, times the multiplier, rounded up; null without such counts."""
+    found = with_percentiles(df.sparkSession.range(1), df.filter(F.col(count) > 0), count, {"p": percentile / 100}, [])
+    return found.select(F.ceil(multiplier * F.col("p")).cast("long").alias("threshold"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:

@@ -35,10 +35,10 @@ def numbered_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame
     """
     from pyspark.sql import Window
 
-    from ..operators.ordinals import checkpointed
+    from ..operators.ordinals import written
 
     place = F.struct(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
-    text = checkpointed(spark.read.text(path).select("value", place.alias("_p"), F.monotonically_increasing_id().alias("_id")).select("value", "_p.*", "_id"))
+    text = written(spark.read.text(path).select("value", place.alias("_p"), F.monotonically_increasing_id().alias("_id")).select("value", "_p.*", "_id"), "lines")
     pieces = text.groupBy("_file", "_at").agg(F.count("*").alias("_n"))
     before = pieces.select("_file", "_at", (F.sum("_n").over(Window.partitionBy("_file").orderBy("_at")) - F.col("_n")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_id"))
