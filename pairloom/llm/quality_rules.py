@@ -10,8 +10,11 @@ own quantiles alone (upper: the UPPER quantile):
 
     fence = median + SPREAD * (upper - median)
 
-A group with fewer than MIN_GROUP counted documents takes its language's sketch
-instead, and below that the sketch of all. Fences are joined back, and a document
+Where both are 0, most documents have no such event, and to have any is odd: the
+fence is the LOWER quantile of those that have some, i.e. of the sketch without
+its bin of 0. A group with fewer than
+MIN_GROUP counted documents takes its language's sketch instead, and below that
+the sketch of all; the same for the documents that have any event. Fences are joined back, and a document
 breaks a rule if it has more events (symbols, repeated words, ...) than the fence
 grants to its size, and a few more (the rule's ALLOWANCE), as a single event makes
 a large ratio in a short text. Documents that break a rule, or fail the base
@@ -34,8 +37,8 @@ from .common import chunks, column_of, text_or_empty, words_of, written
 
 #: Bins of a sketch by doubling of the value: values in a bin differ by 2 ** (1 / BINS) at most.
 BINS = 16
-#: The upper quantile (as a fraction), the spread, and the least documents of a group's own sketch.
-UPPER, SPREAD, MIN_GROUP = (9, 10), 3, 50
+#: The upper and the lower quantile (as fractions), the spread, and the least documents of a group's own sketch.
+UPPER, LOWER, SPREAD, MIN_GROUP = (9, 10), (1, 10), 3, 50
 #: Rules: events, size, scale of their ratio as an integer, and the events that are granted beside the fence's share.
 RULES = {
     "symbols_per_mille": ("n_symbols", "word_chars", 1000, 5),
@@ -130,22 +133,25 @@ def sketches(measured: DataFrame, group: tuple[str, str] = ("lang", "source")) -
 def fences(sketch: DataFrame, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """One row for each group with the fence of each rule; sketches of thin groups are replaced by merged ones."""
     lang, source = group
+    # a rule's name with a plus is its sketch without the bin of 0
+    sketch = sketch.unionByName(sketch.filter("bin >= 0").withColumn("rule", F.concat("rule", F.lit("+"))))
 
     def quantiles(df: DataFrame, *by: str) -> DataFrame:
         merged = df.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "rule")
         ranked = merged.select(*by, "rule", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
         at = lambda part, whole: F.min(F.when(F.col("upto") * whole >= F.col("total") * part, F.col("bin")))
-        cut = ranked.groupBy(*by, "rule").agg(at(1, 2).alias("mid"), at(*UPPER).alias("high"), F.max("total").alias("total"))
-        cut = cut.select(*by, "rule", "total", top_of(F.col("mid")).alias("mid"), top_of(F.col("high")).alias("high"))
-        return cut.select(*by, "rule", "total", (F.col("mid") + (F.col("high") - F.col("mid")) * SPREAD).alias("fence"))
+        cut = ranked.groupBy(*by, "rule").agg(at(1, 2).alias("mid"), at(*UPPER).alias("high"), at(*LOWER).alias("low"), F.max("total").alias("total"))
+        cut = cut.select(*by, "rule", "total", *(top_of(F.col(c)).alias(c) for c in ("mid", "high", "low")))
+        return cut.select(*by, "rule", "total", F.when(F.col("rule").endswith("+"), F.col("low")).otherwise(F.col("mid") + (F.col("high") - F.col("mid")) * SPREAD).alias("fence"))
 
     own, of_lang, of_all = quantiles(sketch, lang, source), quantiles(sketch, lang), quantiles(sketch)
     a, b, c = own.alias("a"), of_lang.alias("b"), of_all.alias("c")
     joined = a.join(b, F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}")) & (F.col("a.rule") == F.col("b.rule"))).join(c, F.col("a.rule") == F.col("c.rule"))
     fence = F.when(F.col("a.total") >= MIN_GROUP, F.col("a.fence")).when(F.col("b.total") >= MIN_GROUP, F.col("b.fence")).otherwise(F.col("c.fence"))
     one = joined.select(F.col(f"a.{lang}").alias(lang), F.col(f"a.{source}").alias(source), F.col("a.rule").alias("rule"), fence.alias("fence"))
-    return one.groupBy(lang, source).agg(*(F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(f"fence_{k}") for k in RULES))
+    of = lambda k: F.max(F.when(F.col("rule") == k, F.col("fence")))
+    return one.groupBy(lang, source).agg(*(F.coalesce(F.nullif(of(k), F.lit(0)), of(f"{k}+"), F.lit(0)).alias(f"fence_{k}") for k in RULES))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -184,7 +190,8 @@ m AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
   FROM w LEFT JOIN r ON w.rid = r.rid),
 x AS ({_rule_rows()}),
-s AS (SELECT lang, source, rule, CASE WHEN v <= 0 THEN -1 ELSE floor(log2(v) * {BINS} + 1e-9)::INT END AS bin, count(*) AS n FROM x GROUP BY ALL),
+z AS (SELECT lang, source, rule, CASE WHEN v <= 0 THEN -1 ELSE floor(log2(v) * {BINS} + 1e-9)::INT END AS bin, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT * FROM z UNION ALL SELECT lang, source, rule || '+', bin, n FROM z WHERE bin >= 0),
 k AS (
   SELECT 'own' AS level, * FROM s
   UNION ALL SELECT 'lang', lang, NULL, rule, bin, sum(n) FROM s GROUP BY ALL
@@ -192,18 +199,22 @@ k AS (
 u AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM k),
 q AS (
-  SELECT level, lang, source, rule, max(total) AS total, min(CASE WHEN 2 * upto >= total THEN bin END) AS a, min(CASE WHEN {UPPER[1]} * upto >= {UPPER[0]} * total THEN bin END) AS b
+  SELECT level, lang, source, rule, max(total) AS total, min(CASE WHEN 2 * upto >= total THEN bin END) AS a, min(CASE WHEN {UPPER[1]} * upto >= {UPPER[0]} * total THEN bin END) AS b,
+    min(CASE WHEN {LOWER[1]} * upto >= {LOWER[0]} * total THEN bin END) AS c
   FROM u GROUP BY ALL),
 t AS (
   SELECT *, CASE WHEN a < 0 THEN 0 ELSE ceil(pow(2.0, (a + 1) / {BINS}.0) - 1e-9) - 1 END AS mid,
-    CASE WHEN b < 0 THEN 0 ELSE ceil(pow(2.0, (b + 1) / {BINS}.0) - 1e-9) - 1 END AS high FROM q),
-f AS (SELECT level, lang, source, rule, total, mid + (high - mid) * {SPREAD} AS fence FROM t),
+    CASE WHEN b < 0 THEN 0 ELSE ceil(pow(2.0, (b + 1) / {BINS}.0) - 1e-9) - 1 END AS high,
+    CASE WHEN c < 0 THEN 0 ELSE ceil(pow(2.0, (c + 1) / {BINS}.0) - 1e-9) - 1 END AS low FROM q),
+f AS (SELECT level, lang, source, rule, total, CASE WHEN rule LIKE '%+' THEN low ELSE mid + (high - mid) * {SPREAD} END AS fence FROM t),
+c AS (
+  SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= {MIN_GROUP} THEN o.fence WHEN l.total >= {MIN_GROUP} THEN l.fence ELSE e.fence END AS fence
+  FROM f o JOIN f l ON l.level = 'lang' AND l.rule = o.rule AND l.lang IS NOT DISTINCT FROM o.lang JOIN f e ON e.level = 'all' AND e.rule = o.rule WHERE o.level = 'own'),
 v AS (
-  SELECT x.rid, bool_or(x.events > x.size * CASE WHEN o.total >= {MIN_GROUP} THEN o.fence WHEN l.total >= {MIN_GROUP} THEN l.fence ELSE e.fence END) AS broken
+  SELECT x.rid, bool_or(x.events > x.size * coalesce(nullif(c.fence, 0), p.fence, 0)) AS broken
   FROM x
-  JOIN f o ON o.level = 'own' AND o.rule = x.rule AND o.lang IS NOT DISTINCT FROM x.lang AND o.source IS NOT DISTINCT FROM x.source
-  JOIN f l ON l.level = 'lang' AND l.rule = x.rule AND l.lang IS NOT DISTINCT FROM x.lang
-  JOIN f e ON e.level = 'all' AND e.rule = x.rule
+  JOIN c ON c.rule = x.rule AND c.lang IS NOT DISTINCT FROM x.lang AND c.source IS NOT DISTINCT FROM x.source
+  LEFT JOIN c p ON p.rule = x.rule || '+' AND p.lang IS NOT DISTINCT FROM x.lang AND p.source IS NOT DISTINCT FROM x.source
   GROUP BY x.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND NOT broken AS kept

@@ -419,10 +419,10 @@ def test_fences_follow_their_group(spark):
         lines = sum(1 for x in (text or "").split("\n") if WORDS.search(x))
         return [(symbols, chars, 1000, 5), (repeats, n, 1000, 12), (doubles, lines, 1000, 2), (chars, n, 10, 50)]
 
-    def fence(values):
+    def fence(values, low=False):
         values = sorted(top(v) for v in values)
         at = lambda a, b: values[-(-len(values) * a // b) - 1]
-        return at(1, 2) + 3 * (at(9, 10) - at(1, 2))
+        return at(1, 10) if low else at(1, 2) + 3 * (at(9, 10) - at(1, 2))
 
     judged = {i: (s, ratios(t)) for i, t, s in rows if not got[i][0].base_failed}
     for i, (source, own) in judged.items():
@@ -430,10 +430,26 @@ def test_fences_follow_their_group(spark):
             peers = [scale * r[k][0] // max(r[k][1], 1) for s, r in judged.values() if s == source]
             if len(peers) < quality_rules.MIN_GROUP:
                 peers = [scale * r[k][0] // max(r[k][1], 1) for _, r in judged.values()]
-            broken = scale * (events - allowed) > fence(peers) * size
+            bound, some = fence(peers), [scale * r[k][0] // max(r[k][1], 1) for s, r in judged.values() if s == source and scale * r[k][0] // max(r[k][1], 1) > 0]
+            if not bound and some:  # most have no such event: the lower quantile of those that have
+                all_some = [v for _, r in judged.values() if (v := scale * r[k][0] // max(r[k][1], 1)) > 0]
+                bound = fence(some if len(some) >= quality_rules.MIN_GROUP else all_some, low=True)
+            broken = scale * (events - allowed) > bound * size
             assert broken == (list(quality_rules.RULES)[k] in got[i][0].broken_rules.split(",")), (i, k)
 
 
+def test_sparse_events_are_judged_by_those_that_have_any(spark):
+    """No verdict rests on a fence of 0: with few symbols in most texts, the fence is the lower tenth of the texts that have some."""
+    junk = [prose(100, 5000 + i).replace(" ", " ## ", 20 + i % 40) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate([*(prose(100, i) for i in range(900)), *junk])]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    cut = quality_rules.fences(quality_rules.sketches(quality_rules.measure(table, keep=("lang", "source")))).first()
+    shares = sorted(1000 * x[2] // x[1] for x in map(brute_features, junk))
+    assert 0 < shares[0] <= cut.fence_symbols_per_mille <= shares[12]
+    kept = {r.doc_id for r in quality_rules.judge(table).filter("kept").collect()}
+    assert set(range(900)) <= kept and len(kept) < 900 + 30
+
+
 def test_sketches_are_mergeable(spark):
     measured = quality_rules.measure(docs(spark), keep=("lang", "source")).persist()
     whole = {tuple(r) for r in quality_rules.sketches(measured).collect()}
