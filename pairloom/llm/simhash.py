@@ -33,8 +33,8 @@ from .components import components
 from .shingles import shingle_hashes
 
 BITS = 64
-#: Node pairs that are descended at a time, which bounds memory.
-STEP = 1 << 16
+#: Node pairs that are descended at a time, and fingerprints of a table that a task holds at a time, about.
+STEP, HELD = 1 << 16, 1 << 18
 
 
 def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
@@ -165,30 +165,38 @@ def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
     return label
 
 
-def spanning_links(distinct: DataFrame, n: int, errors: int) -> DataFrame:
+def spanning_links(distinct: DataFrame, n: int, errors: int, held: int = HELD) -> DataFrame:
     """Links (u, v) between the distinct fingerprints fp that span every group of fingerprints within `errors` bits."""
     cuts, tables = layout(n, errors)
     block = [F.shiftrightunsigned("fp", BITS - cuts[b + 1]).bitwiseAND(F.lit((1 << (cuts[b + 1] - cuts[b])) - 1)) for b in range(len(cuts) - 1)]
     rows = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(block[b] for b in chosen)).alias("meet")) for t, chosen in enumerate(tables)]
-    dealt = distinct.select("fp", F.inline(F.array(*rows))).repartition("t", "meet")
+    dealt = distinct.select("fp", F.inline(F.array(*rows))).repartition("t", "meet").sortWithinPartitions("t", "meet")
+
+    def linked(t, own):
+        keys, fixed = permuted(own, cuts, tables[t])
+        order = np.argsort(keys)
+        keys, own = keys[order], own[order].view(np.int64)
+        label = trie_groups(keys, fixed, errors)
+        member = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([pa.array(own[member]), pa.array(own[label[member]])], ["u", "v"])
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = np.concatenate([np.asarray(column_of(b, "t")) for b in held])
-        fps = np.concatenate([np.asarray(column_of(b, "fp")) for b in held]).view(np.uint64)
-        for k in np.unique(t):
-            own = fps[t == k]
-            keys, fixed = permuted(own, cuts, tables[k])
-            order = np.argsort(keys)
-            keys, own = keys[order], own[order].view(np.int64)
-            label = trie_groups(keys, fixed, errors)
-            member = label != np.arange(len(label))
-            if member.any():
-                yield pa.RecordBatch.from_arrays([pa.array(own[member]), pa.array(own[label[member]])], ["u", "v"])
-
-    return dealt.select("fp", "t").mapInArrow(run, "u long, v long")
+        """Fingerprints that meet follow each other, so about `held` of one table are in memory, or one meeting of more."""
+        own, size, last = [], 0, None
+        for batch in batches:
+            t, meet, fps = np.asarray(column_of(batch, "t")), np.asarray(column_of(batch, "meet")), np.asarray(column_of(batch, "fp")).view(np.uint64)
+            cuts_at = [0, *(np.flatnonzero((t[1:] != t[:-1]) | (meet[1:] != meet[:-1])) + 1).tolist(), len(t)]
+            for lo, hi in zip(cuts_at[:-1], cuts_at[1:], strict=True):
+                if hi > lo:
+                    if own and (last[0] != t[lo] or (size >= held and last[1] != meet[lo])):
+                        yield linked(last[0], np.concatenate(own))
+                        own, size = [], 0
+                    own.append(fps[lo:hi])
+                    size, last = size + hi - lo, (t[lo], meet[lo])
+        if own:
+            yield linked(last[0], np.concatenate(own))
+
+    return dealt.select("fp", "t", "meet").mapInArrow(run, "u long, v long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, errors: int = 4) -> DataFrame:

@@ -719,6 +719,16 @@ def test_simhash_groups(spark):
     assert len(got[len(texts) - 1]) == 2 and simhash.near_duplicate_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 50, simhash.HELD])
+def test_links_do_not_depend_on_how_many_fingerprints_a_task_holds(spark, held):
+    gen = np.random.default_rng(8)
+    fps = np.unique(np.concatenate([b ^ np.uint64(1) << gen.integers(0, 64, 6, dtype=np.uint64) for b in gen.integers(0, 1 << 63, 60, dtype=np.uint64)] + [gen.integers(0, 1 << 63, 300, dtype=np.uint64)]))
+    links = simhash.spanning_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 10**6, 4, held).collect()
+    pairs = {(r.u, r.v) for r in links} | {(r.v, r.u) for r in links}
+    plain = [int(x) for x in fps]
+    assert brute_groups([int(x) for x in fps.view(np.int64)], lambda a, b: (a, b) in pairs) == brute_groups(plain, lambda a, b: (a ^ b).bit_count() <= 4)
+
+
 @pytest.mark.parametrize("n", [10, 10**6, 10**9])
 def test_trie_join_loses_no_link(n):
     gen = np.random.default_rng(n)
