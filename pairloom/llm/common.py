@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -152,6 +153,16 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def forget_caches() -> None:
+    """Gives back what other operators have left in this Python worker, which outlives their tasks; for tasks that need the room."""
+    home = sys.modules.get("_pairloom_worker_cache")
+    if home is not None and (names := [n for n in home.__dict__ if not n.startswith("__")]):
+        for name in names:
+            del home.__dict__[name]
+        gc.collect()
+        give_back()
+
+
 class Kept:
     """A bounded cache in two generations: what was used since the younger one began survives its end."""
 
