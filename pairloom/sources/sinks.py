@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .named import write_named
+
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -15,10 +17,9 @@ def nested_parquet(df: DataFrame, path: str) -> None:
 
 
 def metric_files(metrics: DataFrame, path: str) -> None:
-    """One document for each subset and prompt type, under path/metrics_{subset}_{prompt}.json."""
-    for subset, prompt in metrics.select("subset", "prompt_type").distinct().collect():  # a few subsets and prompt types
-        one = metrics.filter((F.col("subset") == subset) & (F.col("prompt_type") == prompt))
-        one.coalesce(1).write.mode("overwrite").json(f"{path}/metrics_{subset}_{prompt}.json")
+    """One document for each subset and prompt type: the file path/metrics_{subset}_{prompt}.json."""
+    name = F.concat(F.lit("metrics_"), "subset", F.lit("_"), "prompt_type", F.lit(".json"))
+    write_named(metrics.select(name.alias("name"), F.to_json(F.struct("*")).alias("content")), path)
 
 
 def train_and_validation(rows: DataFrame, path: str, in_validation: str = "is_validation") -> None:
