@@ -18,7 +18,7 @@ class Made(WriterCommitMessage):
 
 
 class NamedFiles(DataSource):
-    """Rows (name, content), each a file of that name in the folder `path`. Appending replaces files of the same name and keeps others."""
+    """Rows (name, content), each a file of that name in the folder `path`; a name may begin with folders. Appending replaces files of the same name and keeps others."""
 
     @classmethod
     def name(cls):
@@ -47,7 +47,7 @@ class _Writer(DataSourceWriter):
         store.create_dir(folder, recursive=True)
         made = []
         for name, content in iterator:
-            if not name or posixpath.basename(name) != name or name.startswith("."):
+            if not name or any(not part or part.startswith(".") for part in name.split("/")):
                 raise ValueError(f"not a file's name: {name!r}")
             under = posixpath.join(folder, f".{self.job}-{uuid.uuid4().hex}")
             with store.open_output_stream(under) as out:
@@ -63,6 +63,8 @@ class _Writer(DataSourceWriter):
             raise ValueError("several rows have one name")
         if self.overwrite:
             self._remove(lambda base: not base.startswith(f".{self.job}"))
+        for parent in {posixpath.dirname(name) for _, name in files} - {folder}:
+            store.create_dir(parent, recursive=True)
         for under, name in files:
             store.move(under, name)
         self._remove()  # what tasks that failed have left
@@ -75,7 +77,7 @@ class _Writer(DataSourceWriter):
 
         store, folder = self._folder()
         wanted = wanted or (lambda base: base.startswith(f".{self.job}"))
-        for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)):
             if info.is_file and wanted(info.base_name):
                 store.delete_file(info.path)
 

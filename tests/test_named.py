@@ -17,8 +17,10 @@ def test_each_row_is_a_file_of_its_name(spark, tmp_path):
     assert not (tmp_path / "none").exists() or not os.listdir(tmp_path / "none")
     named.write_named(spark.createDataFrame([("m_7.json", "new"), ("more", "x")], "name string, content string"), f"file://{tmp_path}/a")
     assert (tmp_path / "a" / "m_7.json").read_text() == "new" and len(os.listdir(tmp_path / "a")) == 23
+    named.write_named(spark.createDataFrame([("run/metrics/m.json", "x"), ("run/n", "y")], "name string, content string"), str(tmp_path / "a"))
+    assert (tmp_path / "a" / "run" / "metrics" / "m.json").read_text() == "x" and (tmp_path / "a" / "run" / "n").read_text() == "y"
     named.write_named(spark.createDataFrame([("only", "x")], "name string, content string"), str(tmp_path / "a"), overwrite=True)
-    assert os.listdir(tmp_path / "a") == ["only"]
+    assert [f for _, _, found in os.walk(tmp_path / "a") for f in found] == ["only"]
 
 
 @pytest.mark.parametrize("bad", ["task", "name", "twice"])
