@@ -6,10 +6,11 @@ from collections import Counter
 from difflib import SequenceMatcher, unified_diff
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import kind
+from .text import lines, misplaced, strip
 
 CHANGE = "struct<line_no:int,char_start:int,char_end:int,text:string>"
 
@@ -50,46 +51,6 @@ def line_changes(before: str, after: str) -> tuple[list[dict], list[dict]]:
     return gone, come
 
 
-def placed_by_text(changes: list[dict], lines: list[str]) -> list[dict] | None:
-    """Changes with the numbers of the lines that have their texts; null if a text has no line, or several but not as many as changes.
-
-    Changes without text are left out. Several changes with one text take its lines in order.
-    """
-    places: dict[str, list[int]] = {}
-    for n, line in enumerate(lines, 1):
-        places.setdefault(line.strip(), []).append(n)
-    named = [c for c in changes if c["text"]]
-    wanted = Counter(c["text"] for c in named)
-    left = {}
-    for text, n in wanted.items():
-        found = places.get(text, [])
-        if len(found) == 1:
-            left[text] = iter(found * n)
-        elif len(found) == n:
-            left[text] = iter(found)
-        else:
-            return None
-    return [{**c, "line_no": next(left[c["text"]])} for c in named]
-
-
-def is_misplaced(changes: list[dict], lines: list[str]) -> bool:
-    return any(not 1 <= c["line_no"] <= len(lines) or (c["text"] and c["text"] != lines[c["line_no"] - 1].strip()) for c in changes)
-
-
-def repaired(changes: list[dict], code: str, fallback) -> tuple[list[dict], str]:
-    """(changes, method): as they are if they fit, else placed by text, else what fallback() gives."""
-    lines = code.splitlines()
-    if not changes:
-        made = fallback()
-        return made, "difflib" if made else "native"
-    if not is_misplaced(changes, lines):
-        return changes, "native"
-    by_text = placed_by_text(changes, lines)
-    if by_text is not None:
-        return by_text, "text_reindex"
-    return fallback(), "difflib"
-
-
 @F.pandas_udf(kind("double"))
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -105,20 +66,6 @@ def _line_changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([line_changes(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["deleted", "added"])
 
 
-def _dicts(changes) -> list[dict]:
-    return [] if changes is None else [dict(c) for c in changes]
-
-
-@F.pandas_udf(kind(f"struct<changes:array<{CHANGE}>,method:string>"))
-def _repaired(changes: pd.Series, code: pd.Series, other: pd.Series, is_old: pd.Series) -> pd.DataFrame:
-    rows = []
-    for own, text, against, old in zip(changes, code, other, is_old, strict=True):
-        text, against = text or "", against or ""
-        fallback = (lambda t=text, o=against: line_changes(t, o)[0]) if old else (lambda t=text, o=against: line_changes(o, t)[1])
-        rows.append(repaired(_dicts(own), text, fallback))
-    return pd.DataFrame(rows, columns=["changes", "method"])
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Character similarity of the texts as they are; the order of arguments matters."""
     return _similarity(a, b)
@@ -138,6 +85,39 @@ def changed_lines_text(after: Column, before: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.concat(F.lit("Lines: "), F.array_join(numbers, ", ")))
 
 
-def repair(changes: Column, code: Column, other: Column, is_old: bool) -> Column:
-    """struct(changes, method) of changes in `code`, the older text or the newer; the diff is made only where it is needed."""
-    return _repaired(changes, code, other, F.lit(is_old))
+def let(value: Column, of) -> Column:
+    """of(value), where value is worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def placed_by_text(changes: Column, code_lines: Column) -> Column:
+    """Changes with the numbers of the lines (stripped ones are given) that have their texts; a number is null if a text has no line, or several but not as many as changes.
+
+    Changes without text are left out. Several changes with one text take its lines in order.
+    """
+
+    def placed(named: Column) -> Column:
+        def number(c: Column, i: Column) -> Column:
+            same = F.filter(named, lambda x: x["text"] == c["text"])
+            before = F.size(F.filter(F.slice(named, F.lit(1), i), lambda x: x["text"] == c["text"]))
+            at = F.filter(F.transform(code_lines, lambda line, k: F.when(line == c["text"], k + 1)), lambda k: k.isNotNull())
+            return let(at, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))).when(F.size(a) == F.size(same), F.get(a, before)))
+
+        return F.transform(named, lambda c, i: F.struct(number(c, i).alias("line_no"), c["char_start"].alias("char_start"), c["char_end"].alias("char_end"), c["text"].alias("text")))
+
+    return let(F.filter(changes, lambda c: F.coalesce(c["text"], F.lit("")) != ""), placed)
+
+
+def with_repair(df: DataFrame, name: str, changes: Column, code: Column, other: Column, is_old: bool) -> DataFrame:
+    """df with `name`, struct(changes, method), of changes in `code`, the older text or the newer: as they are if they fit, else
+    placed by their texts, else from the diff. Only texts that need a diff go to Python."""
+    given, own, against = F.coalesce(changes, F.array().cast(f"array<{CHANGE}>")), F.coalesce(code, F.lit("")), F.coalesce(other, F.lit(""))
+    df = df.withColumn("_given", given).withColumn("_fits", (F.size("_given") > 0) & ~F.coalesce(misplaced(F.col("_given"), own), F.lit(False)))
+    df = df.withColumn("_by_text", F.when((F.size("_given") > 0) & ~F.col("_fits"), placed_by_text(F.col("_given"), F.transform(lines(own), strip))))
+    df = df.withColumn("_found", F.coalesce(F.forall("_by_text", lambda c: c["line_no"].isNotNull()), F.lit(False)))
+    needed = ~F.col("_fits") & ~F.col("_found")
+    before, after = (own, against) if is_old else (against, own)
+    df = df.withColumn("_made", _line_changes(F.when(needed, before), F.when(needed, after))["deleted" if is_old else "added"])
+    method = F.when(F.col("_fits") | ((F.size("_given") == 0) & (F.size("_made") == 0)), "native").when(F.col("_found"), "text_reindex").otherwise("difflib")
+    found = F.when(F.col("_fits"), F.col("_given")).when(F.col("_found"), F.col("_by_text")).otherwise(F.col("_made"))
+    return df.withColumn(name, F.struct(found.alias("changes"), method.alias("method"))).drop("_given", "_fits", "_by_text", "_found", "_made")

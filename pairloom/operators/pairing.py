@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.diff import changed_lines, repair
+from ..functions.diff import changed_lines, with_repair
 from ..functions.text import clean_list, code_hash, commit_link_parts, encoded_changes, function_name, pair_id, paired_changes, present, same_but_for_trailing_blanks, strip
 from ..schemas import PAIR_COLUMNS, A, B, C
 
@@ -106,8 +106,8 @@ def pairs_c(rows: DataFrame, file: str = "_file", ordinal: str = "idx") -> DataF
     vulnerable = "is_vulnerable and fixed_func_idx is not null and idx <> fixed_func_idx"
     linked = self_linked(rows.withColumn("_link", F.when(F.expr(vulnerable), F.col("fixed_func_idx").cast("long"))), "_link", "idx", [file], ordinal, ["func_body", "changed_lines"])
     described = strip(F.array_join(F.col("context.Explanation"), " "))
-    made = linked.withColumn("_del", repair(encoded_changes(F.col("changed_lines")), F.col("func_body"), F.col("to_func_body"), True))
-    made = made.withColumn("_add", repair(encoded_changes(F.col("to_changed_lines")), F.col("to_func_body"), F.col("func_body"), False))
+    made = with_repair(linked, "_del", encoded_changes(F.col("changed_lines")), F.col("func_body"), F.col("to_func_body"), True)
+    made = with_repair(made, "_add", encoded_changes(F.col("to_changed_lines")), F.col("to_func_body"), F.col("func_body"), False)
     none = F.array().cast("array<string>")
     made = made.withColumns(
         {

@@ -87,14 +87,45 @@ def test_pool_prefers_sources_for_descriptions(spark):
 
 def test_line_changes_and_repair():
     assert D.line_changes("a\nb\nc", "a\nx\nc")[0] == [{"line_no": 2, "char_start": None, "char_end": None, "text": "b"}]
-    at = lambda n, t: {"line_no": n, "char_start": None, "char_end": None, "text": t}
-    code = "int f() {\n  x;\n  y;\n  x;\n}"
-    assert D.repaired([at(2, "x;")], code, list)[1] == "native"
-    assert D.repaired([at(90, "y;")], code, list) == ([at(3, "y;")], "text_reindex")
-    assert D.repaired([at(90, "x;"), at(91, "x;"), at(92, "")], code, list) == ([at(2, "x;"), at(4, "x;")], "text_reindex")
-    assert D.repaired([at(90, "x;")], code, lambda: [at(1, "int f() {")])[1] == "difflib"
-    assert D.repaired([at(90, "y;"), at(91, "y;")], code, list) == ([at(3, "y;"), at(3, "y;")], "text_reindex")
-    assert D.repaired([], code, list) == ([], "native")
+    assert D.line_changes("a\nb", "a\nb") == ([], [])
+
+
+def plain_repair(changes, code, other, is_old):
+    """(numbers and texts, method), step by step."""
+    lines, made = code.splitlines(), D.line_changes(code, other)[0] if is_old else D.line_changes(other, code)[1]
+    made = [(c["line_no"], c["text"]) for c in made]
+    if not changes:
+        return made, "difflib" if made else "native"
+    if all(1 <= n <= len(lines) and (not t or t == lines[n - 1].strip()) for n, t in changes):
+        return changes, "native"
+    places, named, left, got = {}, [t for _, t in changes if t], {}, []
+    for n, line in enumerate(lines, 1):
+        places.setdefault(line.strip(), []).append(n)
+    for t in named:
+        found = places.get(t, [])
+        if len(found) not in (1, named.count(t)) or not found:
+            return made, "difflib"
+        got.append((found[0] if len(found) == 1 else found[left.setdefault(t, 0)], t))
+        left[t] = left.get(t, 0) + 1
+    return got, "text_reindex"
+
+
+def test_repairs_are_the_plain_ones(spark):
+    import random
+
+    r, pieces, rows = random.Random(2), ["x;", "  y;", "", "z", "x; ", "{", "}"], []
+    for i in range(600):
+        code, other = ("\n".join(r.choice(pieces) for _ in range(r.randint(0, 6))) for _ in range(2))
+        own = [(n + 1, t.strip()) for n, t in enumerate(code.splitlines())]
+        changes = [(n if r.random() < 0.4 else r.randint(-1, 9), t if r.random() < 0.8 else r.choice(["y;", "", "no"])) for n, t in r.sample(own, r.randint(0, len(own)))]
+        rows.append((i, [(n, None, None, t) for n, t in changes], code, other))
+    table = spark.createDataFrame(rows, "i int, changes array<struct<line_no:int,char_start:int,char_end:int,text:string>>, code string, other string")
+    for is_old in (True, False):
+        got = D.with_repair(table, "r", F.col("changes"), F.col("code"), F.col("other"), is_old).collect()
+        assert len({x.r.method for x in got}) == 3
+        for x in got:
+            _, changes, code, other = rows[x.i]
+            assert ([(c.line_no, c.text) for c in x.r.changes], x.r.method) == plain_repair([(c[0], c[3]) for c in changes], code, other, is_old), rows[x.i]
 
 
 def test_greedy_matches_take_the_first_best():
