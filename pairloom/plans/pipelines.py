@@ -19,7 +19,7 @@ from ..operators import audit, metrics, ordinals, pairing, rollout, runs
 from ..schemas import PAIR_COLUMNS, B
 from ..sources import readers, sinks
 from ..streaming.logs import append_new, completion_log
-from ..streaming.state import completion_rows, drained, numbered_calls, stream_rates
+from ..streaming.state import completion_rows, drained, not_done, numbered_calls, stream_rates
 from .catalog import ACCURACY_SQL, EVENTS, SEC, NORMAL_SQL, PARSED_SQL, REWARD_SQL, answers, code_pairs, query, table
 from .datasets import in_order
 
@@ -432,3 +432,16 @@ def steps_of_calls(spark, sf_dir):
     rows = spark.read.parquet(out)
     steps = rows.groupBy("log", (F.col("call") % 3).alias("round"), "call", "step").agg(F.count("*").alias("n"), F.sum("reward").alias("reward"))
     return steps.groupBy("log", "round").agg(F.count_distinct("call").alias("calls"), F.count_distinct("step").alias("steps"), F.min("step").alias("first"), F.max("step").alias("last"), F.sum("n").alias("n"), F.round(F.sum("reward"), 6).alias("reward"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def resume_from_state(spark, sf_dir):
+    """A fifth of the events is done before; the rest comes twice into a stream that is stopped between, and each is written once."""
+    log, out, mark = (scratch(spark, n) for n in ("again", "once", "state"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    done = events.filter("event_id % 5 = 0")
+    for part in (F.col("event_id") % 3 < 2, F.col("event_id") % 3 > 0):
+        sinks.json_lines(events.filter(part), log, append=True)
+        drained(not_done(completion_log(spark, log, events.schema), ["event_id"], done), out, mark)
+    both = spark.read.parquet(out).unionByName(done)
+    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"), F.sum("event_id").alias("ids"))

@@ -71,6 +71,39 @@ def completion_rows(calls: DataFrame, completions: str = "completions") -> DataF
     return each.select(*rest, "idx", "_c.*").withColumn("completion_length", F.length(F.coalesce("completion", F.lit(""))).cast("long"))
 
 
+# -- rows that aren't done yet
+
+
+class _Once(StatefulProcessor):
+    def init(self, handle):
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInitialState(self, key, initialState, timerValues):
+        self.seen.update((0,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        done = self.seen.exists()
+        for frame in rows:
+            if not done:
+                self.seen.update((1,))
+                done = True
+                yield frame.head(1)
+
+    def close(self):
+        pass
+
+
+def not_done(stream: DataFrame, key: list[str], done: DataFrame | None = None) -> DataFrame:
+    """The first row of each key that comes, unless it is among those done before the stream began.
+
+    What is done is state, looked up by key, so a micro-batch doesn't read the output again, however large it is; the rows
+    done before are read once, as the stream begins. Keys may be null.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    before = None if done is None else done.select(*key).distinct().groupBy(*key)
+    return stream.groupBy(*key).transformWithStateInPandas(_Once(), fields, "Append", "None", initialState=before)
+
+
 # -- rates of a run
 
 
