@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions
+from .common import written as table_of
 
 
 def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -13,16 +14,27 @@ def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task takes, about: few edges don't become many small files.
+TASK = 50_000
+
+
+def components(edges: DataFrame, rounds: int = 60, task: int = TASK) -> DataFrame:
     """(node, root) of every node of the edges (u, v): root is the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al.): each links a
     node's neighbours to its least one, which shortens paths until stars remain.
     A step groups by node with partial aggregation, and its output is a written
-    table. Self-loops and repeated edges change nothing; no edges give no rows.
+    table, in as many parts as the number of edges asks for. The steps needed grow
+    with the logarithm of the edges; more than `rounds` are an error. Self-loops
+    and repeated edges change nothing; no edges give no rows.
     """
-    stars = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    stars = table_of(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before, most = None, partitions(edges)
+    parts = 1 + stars.count() // task  # edges don't become more
+
+    def written(df, name):
+        return table_of(df.coalesce(parts) if parts < most else df, name)
+
     for _ in range(rounds):
         both = written(stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")

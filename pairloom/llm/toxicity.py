@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, chunks, column_of, plain_texts, text_or_empty, words_of, written
+from .common import Kept, chunks, column_of, forget_caches, plain_texts, text_or_empty, words_of, written
 
 #: Labelled rows to fit on, at most: what comes to the driver and is broadcast are words of these rows.
 FIT_ROWS = 20_000
@@ -348,6 +348,7 @@ def reliability(rows: DataFrame, terms: dict[str, float]) -> tuple[dict[str, flo
     sent = rows.sparkSession.sparkContext.broadcast(Lexicon(terms, dict.fromkeys(PRIOR, 1.0)).plain())
 
     def run(batches):
+        forget_caches()
         scorer = Scorer(Lexicon(*sent.value))
         for batch in chunks(batches):
             toxic = column_of(batch, "toxic").to_pylist()
@@ -384,6 +385,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        forget_caches()
         scorer = Scorer(Lexicon(*sent.value))
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(scorer.scores(column_of(batch, "text")))], ["id", "score"])
@@ -398,6 +400,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
     at = docs.columns.index(text_col)
 
     def run(batches):
+        forget_caches()
         scorer = Scorer(Lexicon(*sent.value))
         for whole in batches:
             for batch in chunks([whole], at):
