@@ -5,6 +5,7 @@ import pytest
 hypothesis = pytest.importorskip("hypothesis")
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from pairloom.functions import diff, responses  # noqa: E402
 from pairloom.operators import dedup, pairing  # noqa: E402
@@ -31,12 +32,15 @@ def test_diffs_are_consistent(a, b):
     assert 0 <= diff.measured(a, b)[2] <= 1
 
 
-@given(st.lists(st.tuples(st.integers(-2, 12), LINE.map(str.strip)), max_size=5), CODE)
-def test_repaired_lines_fit_or_come_from_the_diff(changes, code):
-    made = [{"line_no": n, "char_start": None, "char_end": None, "text": t} for n, t in changes]
-    got, method = diff.repaired(made, code, list)
-    if method != "difflib":
-        assert not diff.is_misplaced(got, code.splitlines())
+@given(st.lists(st.tuples(st.lists(st.tuples(st.integers(-2, 12), LINE.map(str.strip)), max_size=5), CODE), min_size=20, max_size=60))
+@settings(deadline=None, max_examples=5)
+def test_repaired_lines_fit_or_come_from_the_diff(spark, rows):
+    made = [([(n, None, None, t) for n, t in changes], code) for changes, code in rows]
+    table = spark.createDataFrame(made, "changes array<struct<line_no:int,char_start:int,char_end:int,text:string>>, code string")
+    for r in diff.with_repair(table, "r", F.col("changes"), F.col("code"), F.col("code"), True).collect():
+        lines = r.code.splitlines()
+        if r.r.method != "difflib":
+            assert all(1 <= c.line_no <= len(lines) and (not c.text or c.text == lines[c.line_no - 1].strip()) for c in r.r.changes)
 
 
 @given(st.lists(CODE, max_size=4), st.lists(CODE, max_size=4))
