@@ -287,3 +287,23 @@ def sessions_of_a_stream(spark, sf_dir):
         drain(sessions(stream, "event_type", "ts", "user_id", "value"), out, mark)
     found = spark.read.parquet(out).filter(F.year("session.start") < 2200)
     return found.select("event_type", "size", "max_length", F.round("avg_value", 6).alias("avg_value"), F.col("session.start").cast("timestamp_ntz").alias("started"))
+
+
+# -- responses around texts
+
+_SAID_SQL = f"""x AS (SELECT doc_id, {FIRST_SQL} AS x, doc_id % 5 AS k FROM documents)"""
+
+
+@query(f"""WITH {_SAID_SQL}
+SELECT doc_id, CASE WHEN k = 4 THEN 'NO_JSON' ELSE 'VALID' END AS status, CASE WHEN k = 4 THEN NULL WHEN doc_id % 2 = 0 THEN 'VULNERABLE' ELSE 'NOT_VULNERABLE' END AS classification, CASE WHEN k = 4 THEN '' ELSE length(x)::VARCHAR || ',' || (length(x) + 2)::VARCHAR END AS lines FROM x""")
+def responses_with_texts(spark, sf_dir):
+    """Answers that speak of a text: as thought, as prose before the object, within its strings (with braces, quotes and breaks), in a fence, and with an object that says nothing."""
+    d, x = F.col("doc_id"), F.col("x")
+    k, prose = d % 5, F.translate("x", '{}[]"\\<>', "")
+    said = F.when(d % 2 == 0, "VULNERABLE").otherwise("not_vulnerable")
+    summary = F.when(k == 1, F.concat(F.lit('if (a) { "b" }\n'), x)).when(k == 2, F.concat(x, F.lit("}} {"))).otherwise(x)
+    told = F.to_json(F.struct(summary.alias("reasoning_summary"), said.alias("classification"), F.array(F.length("x"), F.length("x") + 2).alias("important_lines")))
+    rest = F.when(k == 4, F.concat(prose, F.lit(" and no more"))).when(k == 3, F.concat(F.lit('{"note": {"a": 1}} ```json\n'), told, F.lit("\n```"))).otherwise(F.concat(prose, F.lit(" "), told, F.lit(" end")))
+    response = F.concat(F.lit("<think>"), prose, F.lit("</think>\n"), rest)
+    parsed = first_lines(spark, sf_dir).select("doc_id", R.parse(response).alias("p"))
+    return parsed.select("doc_id", "p.status", "p.classification", F.array_join("p.lines", ",").alias("lines"))
