@@ -18,22 +18,15 @@ def completion_log(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def sessions(log: DataFrame, run: str, ts: str, length: str, value: str, gap: str = GAP) -> DataFrame:
     """Batches of each run, parted by gaps of more than `gap`: session, size, longest and mean value.
 
-    A session's window ends `gap` after its last row, and a row at the very end would begin another; so the gap is a
-    millisecond longer, and rows exactly `gap` apart stay together. Works on streams, with the watermark, and on tables.
+    A session's window ends `gap` after its last row, and Spark merges windows that touch, so rows exactly `gap` apart stay
+    together, and those a microsecond further don't. Works on streams, with the watermark, and on tables.
     """
     if log.isStreaming:  # a watermark needs a timestamp with the session's zone
         log = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, WATERMARK)
-    window = F.session_window(ts, _longer(gap))
+    window = F.session_window(ts, gap)
     return log.groupBy(run, window.alias("session")).agg(F.count("*").alias("size"), F.max(length).alias("max_length"), F.avg(value).alias("avg_value"))
 
 
-def _longer(gap: str) -> str:
-    seconds, unit = gap.split()
-    if not unit.startswith("second"):
-        raise ValueError("gaps are given in seconds")
-    return f"{int(seconds) * 1000 + 1} milliseconds"
-
-
 def append_new(batch_writer, key: list[str], done_path: str, schema: T.StructType):
     """A foreachBatch function that writes the rows of a batch whose key isn't in the output yet, once each."""
 

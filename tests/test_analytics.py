@@ -23,6 +23,11 @@ def test_gaps_of_exactly_thirty_seconds_join(spark):
     assert sorted(r["size"] for r in sessions.collect()) == [2, 2]
 
 
+def test_gaps_of_a_microsecond_more_part(spark):
+    sessions = logs.sessions(log(spark, [0, 30.000001, 60.000001, 90.0005, 120.0005]), "run", "ts", "size", "value")
+    assert sorted(r["size"] for r in sessions.collect()) == [1, 2, 2]
+
+
 def test_batch_facts(spark):
     facts = rollout.batch_facts(log(spark, [0, 10, 400, 401]), "run", "ts", "id", "size", "value").orderBy("batch").collect()
     assert [(f["size"], f.duration, f.is_slow) for f in facts] == [(2, 10.0, False), (2, 391.0, True)]
