@@ -8,7 +8,7 @@ brought down to one before. The outcome depends on the order of rows, which
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,16 +150,68 @@ def resolve(rows: list[dict], carry_swap: bool = False) -> tuple[list[dict], dic
     return variants, {"conflicts_collapsed": collapses, "conflicts_kept_both": len(variants)}
 
 
+#: What resolve() looks at, and of this what it may fill.
+READ = ("vuln_hash", "vuln_func", "patched_func", "source", "filepath", "project", "cve", "cwe", "cve_desc", "commit_message")
+FILLED = ("cve", "cwe", "cve_desc", "commit_message")
+
+
+def _functions(pairs: DataFrame, ordinal: str) -> DataFrame:
+    """The pairs without repeats, those of one commit and function name after one another in a task, in `ordinal` order."""
+    keyed = without_repeats(pairs, ordinal).withColumns({"_commit": F.lower("commit_id"), "_function": F.col("func_name")})
+    return keyed.repartition("_commit", "_function").sortWithinPartitions("_commit", "_function", ordinal)
+
+
+def _resolved(batches, carry_swap: bool):
+    """(rows, what resolve() keeps of each function, its counts) of batches in that order; a kept row has its place in `rows` as _at."""
+
+    def done(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        read = rows.select(READ).to_pylist()
+        for at, row in enumerate(read):
+            row["_at"] = at
+        ends = [*_begins(rows), len(read)]
+        return rows, [resolve(read[a:b], carry_swap) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    held: list = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            begins = _begins(part)
+            if held and _key(held[-1], -1) != _key(part, 0):
+                yield done(held)
+                held = []
+            if len(begins) > 1:  # the last function may go on
+                yield done([*held, part.slice(0, begins[-1])])
+                held, part = [], part.slice(begins[-1])
+            held.append(part)
+    if held and sum(h.num_rows for h in held):
+        yield done(held)
+
+
+def _key(rows, at: int):
+    at %= rows.num_rows
+    return rows.column("_commit")[at].as_py(), rows.column("_function")[at].as_py()
+
+
+def _begins(rows) -> list[int]:
+    """Where each function's rows begin."""
+    keys = list(zip(rows.column("_commit").to_pylist(), rows.column("_function").to_pylist(), strict=True))
+    return [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+
+
 def deduplicate(pairs: DataFrame, ordinal: str = "ordinal", carry_swap: bool = False) -> DataFrame:
     """The pairs that stay, of each commit (in lower case) and function name, in `ordinal` order within a group."""
-    schema = pairs.schema
+    names = pairs.columns
 
-    def run(group):
-        rows = group.sort_values(ordinal, kind="stable").to_dict("records")
-        kept, _ = resolve(rows, carry_swap)
-        return pd.DataFrame(kept, columns=group.columns)
+    def run(batches):
+        for rows, found in _resolved(batches, carry_swap):
+            kept = [row for some, _ in found for row in some]
+            made = rows.select(names).take(pa.array([row["_at"] for row in kept], pa.int64()))
+            for name in FILLED:
+                made = made.set_column(names.index(name), name, pa.array([row[name] for row in kept], made.schema.field(name).type))
+            yield from made.combine_chunks().to_batches()
 
-    return without_repeats(pairs, ordinal).groupBy(F.lower("commit_id"), "func_name").applyInPandas(run, schema)
+    return _functions(pairs, ordinal).mapInArrow(run, pairs.schema)
 
 
 def without_repeats(pairs: DataFrame, ordinal: str) -> DataFrame:
@@ -172,11 +224,12 @@ def without_repeats(pairs: DataFrame, ordinal: str) -> DataFrame:
 def deduplication_statistics(pairs: DataFrame, ordinal: str = "ordinal", carry_swap: bool = False) -> DataFrame:
     """(statistic, n) of what deduplicate() does."""
 
-    def run(group):
-        _, counts = resolve(group.sort_values(ordinal, kind="stable").to_dict("records"), carry_swap)
-        return pd.DataFrame({"statistic": list(counts), "n": list(counts.values())})
+    def run(batches):
+        for _, found in _resolved(batches, carry_swap):
+            said = [item for _, counts in found for item in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in said], pa.string()), pa.array([n for _, n in said], pa.int64())], ["statistic", "n"])
 
-    return without_repeats(pairs, ordinal).groupBy(F.lower("commit_id"), "func_name").applyInPandas(run, "statistic string, n long").groupBy("statistic").agg(F.sum("n").alias("n"))
+    return _functions(pairs, ordinal).mapInArrow(run, "statistic string, n long").groupBy("statistic").agg(F.sum("n").alias("n"))
 
 
 def best_by_hash(rows: DataFrame, key: list[str], source: str, order: tuple[str, ...], ordinal: str) -> DataFrame:
