@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunCache, chunks, column_of, gather, text_or_empty, tokenizer_path, worker_cache
+from .common import RunCache, chunks, column_of, forget_caches, gather, text_or_empty, tokenizer_path, worker_cache
 
 ESCAPE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -317,6 +317,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        forget_caches(but="sentencepiece")
         fst, known = compiled(model.value)
         is_byte = np.zeros(len(fst.text), bool)
         is_byte[list(fst.byte_of)] = True

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pairloom.llm import common
 from pairloom.operators import dedup
 from pairloom.plans import expected
 from pairloom.streaming import state
@@ -50,3 +51,24 @@ def test_rates_keep_large_ties(spark, tmp_path):
     state.drained(state.stream_rates(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), "run", "ts", "id", "1 day", size=2), f"{tmp_path}/out", f"{tmp_path}/mark")
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("completed").collect()
     assert [(r.id, r.completed, r.rate, r.delta_seconds) for r in got] == [(big + 2 * i, i + 1, 60.0 if i >= 2 else None, 1.0 if i else None) for i in range(5)]
+
+
+def test_tasks_give_back_all_but_their_own_cache():
+    """pipeline, encoding: what other stages left in a worker goes, cycles without a cache too, and the segments stay."""
+    import gc
+    import weakref
+
+    class Left:
+        pass
+
+    left = Left()
+    left.self, gone = left, weakref.ref(left)
+    del left
+    common.worker_cache("other")["a"], common.worker_cache("mine")["b"] = 1, 2
+    gc.disable()
+    try:
+        common.forget_caches(but="mine")
+        assert gone() is None and common.worker_cache("mine") == {"b": 2} and common.worker_cache("other") == {}
+    finally:
+        gc.enable()
+        common.forget_caches()
