@@ -6,6 +6,7 @@ from collections import Counter
 from difflib import SequenceMatcher, unified_diff
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,21 @@ def _measured(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measured(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["added", "removed", "similarity"])
 
 
-@F.pandas_udf(kind(f"struct<deleted:array<{CHANGE}>,added:array<{CHANGE}>>"))
-def _line_changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([line_changes(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["deleted", "added"])
+@F.arrow_udf(kind(f"struct<deleted:array<{CHANGE}>,added:array<{CHANGE}>>"))
+def _line_changes(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Changes as columns, some rows at a time: a batch's lines are never all Python objects at once."""
+    done = []
+    for at in range(0, len(a), 256):
+        found = [line_changes(x or "", y or "") for x, y in zip(a.slice(at, 256).to_pylist(), b.slice(at, 256).to_pylist(), strict=True)]
+        done.append(pa.StructArray.from_arrays([_changes([gone for gone, _ in found]), _changes([come for _, come in found])], ["deleted", "added"]))
+    return pa.concat_arrays(done) if done else pa.array([], pa.struct([("deleted", _CHANGES), ("added", _CHANGES)]))
+
+
+_CHANGES = pa.list_(pa.struct([("line_no", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("text", pa.string())]))
+
+
+def _changes(rows: list[list[dict]]) -> pa.Array:
+    return pa.array(rows, _CHANGES)
 
 
 def similarity(a: Column, b: Column) -> Column:

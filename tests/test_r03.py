@@ -72,3 +72,17 @@ def test_tasks_give_back_all_but_their_own_cache():
     finally:
         gc.enable()
         common.forget_caches()
+
+
+def test_line_changes_are_made_some_rows_at_a_time(monkeypatch):
+    """line_diff: the changed lines of a whole batch are never Python objects at once."""
+    import pyarrow as pa
+
+    from pairloom.functions import diff
+
+    held, plain = [], diff._changes
+    monkeypatch.setattr(diff, "_changes", lambda rows: held.append(len(rows)) or plain(rows))
+    olds, news = [None, *(f"a\n{i}" for i in range(1000))], ["b", *(f"a\n{i + 1}" for i in range(1000))]
+    made = diff._line_changes.func(pa.array(olds), pa.array(news))
+    assert max(held) <= 256 and made.to_pylist() == [dict(zip(("deleted", "added"), diff.line_changes(a or "", b), strict=True)) for a, b in zip(olds, news, strict=True)]
+    assert len(diff._line_changes.func(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
