@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bottom_k
-from .common import chunks, column_of, numbered, picked, text_or_empty, written
+from .common import chunks, column_of, forget_caches, give_back, numbered, picked, text_or_empty, written
 from .components import components
-from .shingles import shingle_hashes
+from .shingles import majority_bits, shingle_hashes
 
 BITS = 64
 #: Node pairs that are descended at a time, and fingerprints of a table that a task holds at a time, about.
@@ -40,13 +40,7 @@ STEP, HELD = 1 << 16, 1 << 18
 def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
     """The fingerprint of each text."""
     hashes, offsets = shingle_hashes(texts, width)
-    found = np.zeros(len(texts), np.uint64)
-    for i in range(len(texts)):
-        n = offsets[i + 1] - offsets[i]
-        if n:
-            sums = np.unpackbits(hashes[offsets[i] : offsets[i + 1]], axis=1).sum(axis=0, dtype=np.int64)
-            found[i] = np.packbits(2 * sums > n).view(">u8")[0]
-    return found
+    return np.array([majority_bits(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -82,15 +76,20 @@ def permuted(fps: np.ndarray, cuts: list[int], chosen: tuple[int, ...]) -> tuple
     return out, sum(cuts[b + 1] - cuts[b] for b in chosen)
 
 
-def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after linking a[i] with b[i]: each group has its least member."""
+def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray, joined: list | None = None) -> np.ndarray:
+    """Labels after linking a[i] with b[i]: each group has its least member. joined takes the links by which groups became one."""
     while len(a):
         ra, rb = label[a], label[b]
         apart = ra != rb
         if not apart.any():
             break
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        lower, upper = np.minimum(ra, rb), np.maximum(ra, rb)
+        np.minimum.at(label, upper, lower)
+        if joined is not None:
+            won = np.flatnonzero(label[upper] == lower)
+            won = won[np.unique(upper[won], return_index=True)[1]]
+            joined.append((a[won], b[won]))
         while True:
             jumped = label[label]
             if (jumped == label).all():
@@ -99,10 +98,11 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
+def trie_groups(keys: np.ndarray, fixed: int, errors: int, joined: list | None = None) -> np.ndarray:
     """Group label of each of the sorted distinct keys; keys are linked if the first `fixed` bits agree and `errors` others at most differ.
 
     A trie node is a range lo..hi of the sorted keys; its branch bit is the first in which its ends differ.
+    joined takes arrays (i, j) of the places of linked keys, by which each group hangs together.
     """
     n = len(keys)
     label = np.arange(n)
@@ -154,7 +154,7 @@ def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
         a, b, c, d, bits_a, bits_c = a[near], b[near], c[near], d[near], bits_a[near], bits_c[near]
         leaves = (b - a == 1) & (d - c == 1)
         if leaves.any():
-            label = _settle(label, a[leaves], c[leaves])
+            label = _settle(label, a[leaves], c[leaves], joined)
             changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         a, b, c, d, bits_a, bits_c = a[~leaves], b[~leaves], c[~leaves], d[~leaves], bits_a[~leaves], bits_c[~leaves]
         if len(a):
@@ -165,8 +165,11 @@ def trie_groups(keys: np.ndarray, fixed: int, errors: int) -> np.ndarray:
     return label
 
 
-def spanning_links(distinct: DataFrame, n: int, errors: int, held: int = HELD) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints fp that span every group of fingerprints within `errors` bits."""
+def spanning_links(distinct: DataFrame, n: int, errors: int, held: int = HELD, stars: bool = True) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints fp that span every group of fingerprints within `errors` bits.
+
+    A meeting's group is given as a star around its least fingerprint, or else by links that are within `errors` bits themselves.
+    """
     cuts, tables = layout(n, errors)
     block = [F.shiftrightunsigned("fp", BITS - cuts[b + 1]).bitwiseAND(F.lit((1 << (cuts[b + 1] - cuts[b])) - 1)) for b in range(len(cuts) - 1)]
     rows = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(block[b] for b in chosen)).alias("meet")) for t, chosen in enumerate(tables)]
@@ -176,12 +179,15 @@ def spanning_links(distinct: DataFrame, n: int, errors: int, held: int = HELD) -
         keys, fixed = permuted(own, cuts, tables[t])
         order = np.argsort(keys)
         keys, own = keys[order], own[order].view(np.int64)
-        label = trie_groups(keys, fixed, errors)
-        member = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(own[member]), pa.array(own[label[member]])], ["u", "v"])
+        joined = None if stars else [(np.zeros(0, np.int64),) * 2]
+        label = trie_groups(keys, fixed, errors, joined)
+        member = np.flatnonzero(label != np.arange(len(label)))
+        a, b = (member, label[member]) if stars else map(np.concatenate, zip(*joined, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], ["u", "v"])
 
     def run(batches):
         """Fingerprints that meet follow each other, so about `held` of one table are in memory, or one meeting of more."""
+        forget_caches()
         own, size, last = [], 0, None
         for batch in batches:
             t, meet, fps = np.asarray(column_of(batch, "t")), np.asarray(column_of(batch, "meet")), np.asarray(column_of(batch, "fp")).view(np.uint64)
@@ -195,6 +201,7 @@ def spanning_links(distinct: DataFrame, n: int, errors: int, held: int = HELD) -
                     size, last = size + hi - lo, (t[lo], meet[lo])
         if own:
             yield linked(last[0], np.concatenate(own))
+        give_back()
 
     return dealt.select("fp", "t", "meet").mapInArrow(run, "u long, v long")
 
@@ -210,11 +217,24 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_pairs(sets: DataFrame, errors: int) -> DataFrame:
+    """(u, v) of sets (key, fp): pairs within `errors` bits that span every group of sets whose fingerprints are."""
+    marked = written(sets.select("key", "fp"), "fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    links = written(spanning_links(distinct.select("fp"), distinct.count(), errors, stars=False).distinct(), "links")
+    ends = distinct.select(F.col("fp").alias("u"), F.col("least").alias("a")), distinct.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    between = links.join(ends[0], "u").join(ends[1], "v")
+    within = marked.join(distinct, "fp").filter(F.col("key") != F.col("least")).select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return between.select("a", "b").union(within).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, errors: int = 4) -> DataFrame:
     """docs without near duplicates: one row of each group stays, that with the least id; all columns stay.
 
     Texts are alike if the sets of their shingles (of `width` words) have that Jaccard similarity or more, and a group
-    is all that is reached by such links.
+    is all that is reached by such links. Sets whose fingerprints the trie join finds within `errors` bits are compared
+    first, on the whole sets; what it joins is one group from then on. Alike texts further apart in bits are found by
+    inverted lists of their rarest shingles, so that `errors` changes the work only and never the result.
 
     Defined cases: a null text is an empty one; texts without a word are alike to each other and to no other; a text of
     fewer words than a shingle is one shingle; null ids come after all others, and of equal ids the first row in the
@@ -222,6 +242,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     along whatever their names.
     """
     names, rows = docs.columns, numbered(docs)  # (_doc, _key): the row and its key, the same however often they are read
-    grouped = bottom_k.similar_groups(rows, id_col, text_col, width, similarity, empty_alike=True)
+    grouped = bottom_k.similar_groups(rows, id_col, text_col, width, similarity, empty_alike=True, early=lambda sets: near_pairs(sets, errors))
     dropped = written(grouped.filter(F.col("key") != F.col("least.r")).select(F.col("key").alias("_key")), "dropped")
     return rows.join(picked(dropped)[1], "_key", "left_anti").select(*(F.col("_doc")[n].alias(n) for n in names))

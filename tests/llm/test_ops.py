@@ -817,6 +817,48 @@ def test_near_duplicates_are_those_of_all_pairs(spark, seed):
     assert sorted(x.doc_id for x in simhash.keep_one_of_each(docs(spark, [*texts, None])).collect()) == brute_kept([*texts, None])
 
 
+def test_fingerprints_and_trie_act_first_in_near_duplicates(spark, monkeypatch):
+    """What the trie join finds within 4 bits is all that is, it is verified, and the lists aren't asked for it again."""
+    from pairloom.llm import bottom_k
+    from pairloom.llm.common import written
+
+    texts, seen, judged, asked = near_copies(4, 30), [], [], []
+    found, alike, apart = simhash.near_pairs, bottom_k.alike, bottom_k.apart
+
+    def early(sets, errors):
+        seen.append((sets.collect(), written(found(sets, errors), "test"), errors))
+        return seen[0][1]
+
+    def told(pairs, *others):
+        judged.append(written(alike(pairs, *others), "test"))
+        return judged[-1]
+
+    def left(pairs, roots):
+        asked.append((written(apart(pairs, roots), "test"), {r.node: r.root for r in roots.collect()}))
+        return asked[0][0]
+
+    monkeypatch.setattr(simhash, "near_pairs", early)
+    monkeypatch.setattr(bottom_k, "alike", told)
+    monkeypatch.setattr(bottom_k, "apart", left)
+    assert sorted(x.doc_id for x in simhash.keep_one_of_each(docs(spark, texts)).collect()) == brute_kept(texts)
+    (sets, pairs, errors), keys = seen[0], sorted(r.key for r in seen[0][0])
+    prints = {r.key: r.fp & (1 << 64) - 1 for r in sets}
+    pairs = {(r.u, r.v) for r in pairs.collect()}
+    assert errors == 4 and set(prints.values()) == {_set_fingerprint(t) for t in texts}
+    assert pairs and all((prints[a] ^ prints[b]).bit_count() <= 4 for a, b in pairs)
+    assert brute_groups(keys, lambda a, b: (a, b) in pairs or (b, a) in pairs) == brute_groups(keys, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    first = {(r.u, r.v) for r in judged[0].collect()}
+    hubs, root = asked[0]
+    assert first and first <= pairs and all(root[a] == root[b] for a, b in first)
+    assert all(root.get(r.u, r.u) != root.get(r.v, r.v) for r in hubs.collect())
+
+
+def _set_fingerprint(text, width=5):
+    words = text.split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(len(words) - width + 1)}
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_links_do_not_depend_on_the_number_of_documents(spark):
     texts, r = near_copies(3, 40), random.Random(12)
     others = [" ".join(f"w{r.randrange(10**6)}" for _ in range(8)) for _ in range(40_000)]
