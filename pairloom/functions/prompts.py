@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_description, line_numbers, lines, numbered, present, strip, token_count, truncate_tokens
+from .text import first_tokens, has_description, line_numbers, lines, numbered, present, strip, token_count, tokens
 
 # Context size, tokens kept free for the answer, and the least worth of a cut message.
 CAPACITY, RESERVED, LEAST_MESSAGE = 32768, 4096, 40
@@ -80,27 +80,35 @@ def requests(pairs, drop_message_with_description: bool = True, longest_answer:
     """Two rows for each pair, vulnerable and patched, with prompt, prompt_tokens and api_max_tokens; what can't fit is dropped.
 
     The commit message goes in whole if it fits; a description makes up for it; else it is cut if enough room is left.
+    A message stands between blanks in a prompt, so its tokens and those of its label are added to those of the prompt
+    without it: each message is split once, and each prompt is made once.
     """
     both = F.array(F.struct(F.lit(True).alias("is_vulnerable"), F.col("vuln_func").alias("code")), F.struct(F.lit(False).alias("is_vulnerable"), F.col("patched_func").alias("code")))
     rows = pairs.select("*", F.inline(both))
     rows = rows.withColumn("ground_truth_lines", F.when(F.col("is_vulnerable"), line_numbers(F.col("deleted_lines"))).otherwise(F.array().cast("array<int>")))
-    message, described = present(F.col("commit_message")), has_description(F.col("cve_desc"))
+    described, none = has_description(F.col("cve_desc")), F.lit(None).cast("string")
+
+    def known(words: Column) -> Column:
+        return context(F.col("cve"), F.col("cwe"), F.col("cve_desc"), words)
 
     def prompt(words: Column) -> Column:
-        return training_prompt(F.col("code"), F.col("is_vulnerable"), context(F.col("cve"), F.col("cwe"), F.col("cve_desc"), words), F.col("ground_truth_lines"), line_numbers(F.col("added_lines")))
+        return training_prompt(F.col("code"), F.col("is_vulnerable"), known(words), F.col("ground_truth_lines"), line_numbers(F.col("added_lines")))
 
     room = CAPACITY - RESERVED
-    rows = rows.withColumn("_message", message).withColumn("_base", prompt(F.lit(None).cast("string")))
-    rows = rows.withColumn("_base_tokens", token_count(F.col("_base"))).filter(F.col("_base_tokens") <= room)
-    rows = rows.withColumn("_full", prompt(F.col("_message"))).withColumn("_left", F.lit(room) - F.col("_base_tokens"))
+    rows = rows.withColumn("_base_tokens", F.size(tokens(prompt(none)))).filter(F.col("_base_tokens") <= room)
+    left, words = F.lit(room) - F.col("_base_tokens"), F.col("_words")
+    rows = rows.withColumn("_message", present(F.col("commit_message")))
     plain = F.col("_message").isNull() | (F.lit(drop_message_with_description) & described)
-    chosen = (
-        F.when(plain, F.col("_base")).when(token_count(F.col("_full")) <= room, F.col("_full")).when(described, F.col("_base"))
-        .when(F.col("_left") >= LEAST_MESSAGE, prompt(truncate_tokens(F.col("_message"), F.col("_left")))).otherwise(F.col("_base"))
-    )
-    rows = rows.withColumn("prompt", chosen).withColumn("prompt_tokens", token_count(F.col("prompt")))
+    rows = rows.withColumn("_words", F.when(~plain, tokens(F.col("_message"))))
+    label = F.when(known(none).isNull(), 4).otherwise(3)  # "Context:" if nothing else is known, "-", "Commit" and "message:"
+    rows = rows.withColumn("_label_tokens", F.when(words.isNotNull(), label))
+    fits = F.col("_base_tokens") + F.col("_label_tokens") + F.size(words) <= room
+    chosen = F.when(words.isNull(), none).when(fits, F.col("_message")).when(described | (left < LEAST_MESSAGE), none).when(F.size(words) <= left, F.col("_message")).otherwise(first_tokens(words, left))
+    rows = rows.withColumn("_chosen", chosen).withColumn("prompt", prompt(F.col("_chosen")))
+    more = F.when(F.col("_chosen").isNull(), 0).otherwise(F.col("_label_tokens") + F.least(F.size(words), left))
+    rows = rows.withColumn("prompt_tokens", F.col("_base_tokens") + more)
     rows = rows.withColumn("api_max_tokens", F.least(F.lit(longest_answer), F.lit(CAPACITY) - F.col("prompt_tokens")))
-    return rows.drop("_message", "_base", "_base_tokens", "_full", "_left")
+    return rows.drop("_base_tokens", "_message", "_words", "_label_tokens", "_chosen")
 
 
 def eval_requests(pairs, prompt_types: tuple[str, ...] = ("training", "std_cls")):
@@ -108,6 +116,6 @@ def eval_requests(pairs, prompt_types: tuple[str, ...] = ("training", "std_cls")
     both = F.array(F.struct(F.lit(True).alias("is_vulnerable"), F.col("vuln_func").alias("code")), F.struct(F.lit(False).alias("is_vulnerable"), F.col("patched_func").alias("code")))
     rows = pairs.select("*", F.inline(both)).withColumn("prompt_type", F.explode(F.array(*map(F.lit, prompt_types))))
     rows = rows.withColumn("prompt", F.when(F.col("prompt_type") == "std_cls", yes_no_prompt(F.col("code"))).otherwise(training_prompt(F.col("code"))))
-    tokens = token_count(F.col("prompt"))
-    skipped = F.concat(F.lit("SKIPPED: prompt_too_long:"), tokens.cast("string"), F.lit("_tokens"))
-    return rows.withColumn("target", F.col("is_vulnerable").cast("int")).withColumn("response", F.when(tokens > CAPACITY - RESERVED, skipped))
+    count = token_count(F.col("prompt"))
+    skipped = F.concat(F.lit("SKIPPED: prompt_too_long:"), count.cast("string"), F.lit("_tokens"))
+    return rows.withColumn("target", F.col("is_vulnerable").cast("int")).withColumn("response", F.when(count > CAPACITY - RESERVED, skipped))

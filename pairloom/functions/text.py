@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Line breaks and blanks as Python's splitlines and strip take them.
 BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same for long texts: Java tells by one look-up and one range that most characters aren't any.
+BLANK_IN_JAVA = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 #: All the blanks, for functions that take a set of characters.
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(BLANK, c))
 
@@ -162,17 +164,25 @@ def temperature_label(folder: Column) -> Column:
     return F.when(folder == "metrics", "default").otherwise(F.regexp_replace(folder, "metrics_", ""))
 
 
+def tokens(text: Column) -> Column:
+    """What stands between white space; a text without any is one empty token."""
+    return F.split(strip(text), f"{BLANK_IN_JAVA}+")
+
+
+def first_tokens(parts: Column, most: Column) -> Column:
+    """The first ones of more tokens, with an ellipsis."""
+    return F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(most, F.lit(1))), " "), F.lit("..."))
+
+
 def token_count(text: Column) -> Column:
     """Tokens between white space, where no tokenizer is at hand; a missing text has none."""
-    return F.when(text.isNull() | (strip(text) == ""), 0).otherwise(F.size(F.split(strip(text), f"{BLANK}+")))
+    return F.when(text.isNull() | (strip(text) == ""), 0).otherwise(F.size(tokens(text)))
 
 
 def truncate_tokens(text: Column, most: Column | int) -> Column:
     """The first tokens of a text that has more, with an ellipsis; null for an empty text or no room."""
     room = F.lit(most) if isinstance(most, int) else most
-    parts = F.split(strip(text), f"{BLANK}+")
-    cut = F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(room, F.lit(1))), " "), F.lit("..."))
-    return F.when(text.isNull() | (text == "") | (room <= 0), F.lit(None).cast("string")).when(token_count(text) <= room, text).otherwise(cut)
+    return F.when(text.isNull() | (text == "") | (room <= 0), F.lit(None).cast("string")).when(token_count(text) <= room, text).otherwise(first_tokens(tokens(text), room))
 
 
 def first_filled(*columns: Column) -> Column:

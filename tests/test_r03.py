@@ -1,6 +1,7 @@
 """What round 3 found: functions come to Python in batches, keys of a stream in groups, and ties of rates stay whole."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,41 @@ def test_line_changes_are_made_some_rows_at_a_time(monkeypatch):
     made = diff._line_changes.func(pa.array(olds), pa.array(news))
     assert max(held) <= 256 and made.to_pylist() == [dict(zip(("deleted", "added"), diff.line_changes(a or "", b), strict=True)) for a, b in zip(olds, news, strict=True)]
     assert len(diff._line_changes.func(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
+
+
+def test_a_message_is_split_once_and_tokens_are_those_of_the_prompt(spark):
+    """cut_messages: whole, cut, described and missing messages around the bound, with and without other context."""
+    from pairloom.functions import prompts
+    from pairloom.functions.text import token_count
+
+    room = prompts.CAPACITY - prompts.RESERVED
+    n_base = len(prompts.OPENING.split()) + len(prompts.ANALYZE.split()) + 2 + 2 + len(prompts.VULNERABLE_HINT.split()) + len(prompts.TASK.split())
+    rows, texts = [], [None, "", " none ", "a message", "\u3000 a\u2003b\u00a0c\x1cd "]
+    texts += [" ".join(f"w{k}" for k in range(room - n_base + more)) for more in (-9, -5, -4, -3, -1, 0, 1, 9)]
+    for message in texts:
+        for cve, description in (([], None), (["CVE-1", ""], None), ([], "told"), (["CVE-1"], " N/A ")):
+            rows += [(len(rows), "int a;", "b", cve, [], description, message), (len(rows) + 1, "x " * (room - n_base - 60), "b", cve, [], description, message)]
+    pairs = spark.createDataFrame(rows, "id int, vuln_func string, patched_func string, cve array<string>, cwe array<string>, cve_desc string, commit_message string")
+    pairs = pairs.withColumn("deleted_lines", F.array().cast(expected.CHANGE)).withColumn("added_lines", F.array().cast(expected.CHANGE))
+    for drop in (True, False):
+        made = prompts.requests(pairs, drop_message_with_description=drop)
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("split(trim(_message") == 1
+        got = made.withColumn("counted", token_count(F.col("prompt"))).collect()
+        assert len(got) == 2 * len(rows) and all(r.prompt_tokens == r.counted and r.api_max_tokens == prompts.CAPACITY - r.counted for r in got)
+        cut = [r for r in got if re.search(r"w\d+\.\.\.", r.prompt)]
+        assert cut and all(("Description: " in r.prompt) is False for r in cut)
+        for r in got:
+            words = (r.commit_message or "").split()
+            said = "Commit message: " in r.prompt
+            if not words or words == ["none"] or (drop and r.cve_desc == "told"):
+                assert not said
+            elif r not in cut and said:
+                assert r.commit_message.strip() in r.prompt
+
+
+def test_long_texts_are_parted_at_the_same_blanks(spark):
+    from pairloom.functions import text as X
+
+    every = spark.range(0x10000).filter("id < 55296 OR id > 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    parting = every.filter(F.size(F.split(F.concat(F.lit("a"), "c", F.lit("b")), X.BLANK_IN_JAVA)) == 2).collect()
+    assert {r.c for r in parting} == set(X.BLANKS) and all(ord(r.c) == r.id for r in parting)
