@@ -45,6 +45,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Segments in each generation of a worker's cache, and pairs of pieces of which is known whether they stay apart.
 KEPT_SEGMENTS, KEPT_PAIRS = 150_000, 200_000
+#: Bytes of text that are cut into segments at a time: each segment is a string of its own, many times its size.
+CUT_BYTES = 1 << 18
 INFINITE = float("inf")
 
 
@@ -321,7 +323,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         fst, known = compiled(model.value)
         is_byte = np.zeros(len(fst.text), bool)
         is_byte[list(fst.byte_of)] = True
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CUT_BYTES):
             texts = column_of(batch, "text")
             ids, offsets = fst.encode_all(texts.to_pylist(), known)
             bytes_before = np.concatenate([[0], np.cumsum(is_byte[ids])])

@@ -125,3 +125,26 @@ def test_long_texts_are_parted_at_the_same_blanks(spark):
     every = spark.range(0x10000).filter("id < 55296 OR id > 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     parting = every.filter(F.size(F.split(F.concat(F.lit("a"), "c", F.lit("b")), X.BLANK_IN_JAVA)) == 2).collect()
     assert {r.c for r in parting} == set(X.BLANKS) and all(ord(r.c) == r.id for r in parting)
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound, None)
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('a word ', 300)").alias("text"))  # 12 MB
+    try:
+        spark.conf.unset(bound)
+        encoded = corpus_pipeline.encode(spark, docs, None)
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches), "size long")
+        assert common.BATCH_BYTES / 2 < sizes.agg(F.max("size")).first()[0] < 2 * common.BATCH_BYTES
+        assert encoded.filter("round_trip").count() == 6000
+        spark.conf.set(bound, "1m")  # what a session was given stays
+        corpus_pipeline.encode(spark, docs, None)
+        assert spark.conf.get(bound) == "1m"
+    finally:
+        spark.conf.unset(bound)
+        if before is not None:
+            spark.conf.set(bound, before)
